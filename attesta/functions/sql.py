@@ -32,9 +32,9 @@ def definitions() -> dict[str, tuple[str, str, str]]:
     return {
         "clean": ("x STRING", "STRING", cleaned),
         "slugify": ("x STRING", "STRING",
-                    "regexp_replace(regexp_replace(translate(regexp_replace("
-                    f"lower({cleaned}), '([{X._ACCENTED}])', concat('$1', '{X._MARK}')), {fold}),"
-                    " '[^a-z0-9]+', '-'), '^-+|-+$', '')"),
+                    "regexp_replace(regexp_replace(translate(regexp_replace(translate("
+                    f"lower({cleaned}), '{X._PLAIN_FROM}', '{X._PLAIN_TO}'),"
+                    rf" r'([^\x00-\x7F])', '$1-'), {fold}), '[^a-z0-9]+', '-'), '^-+|-+$', '')"),
         "normalize_name": ("x STRING", "STRING",
                            f"trim(regexp_replace(regexp_replace(translate(lower(x), {fold}),"
                            r" r'[\x{0300}-\x{036F}]', ''), '[^a-z0-9]+', ' '))"),

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 _WIDE_SPACES = [0x0B, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
                 0x3000, 0xFEFF]
 _SPACE = r"[\s" + "".join(map(chr, _WIDE_SPACES)) + "]+"
-_MARK = chr(0x301)
 
 
 def _fold_table() -> tuple[str, str]:
@@ -31,8 +30,9 @@ def _fold_table() -> tuple[str, str]:
 
 
 _FOLD_FROM, _FOLD_TO = _fold_table()
-# The subset that decomposes into a base letter followed by marks.
-_ACCENTED = "".join(c for c in _FOLD_FROM if len(unicodedata.normalize("NFKD", c)) > 1)
+# Characters that fold without leaving a mark behind (full-width forms, superscripts).
+_PLAIN = [(c, t) for c, t in zip(_FOLD_FROM, _FOLD_TO) if len(unicodedata.normalize("NFKD", c)) == 1]
+_PLAIN_FROM, _PLAIN_TO = "".join(c for c, _ in _PLAIN), "".join(t for _, t in _PLAIN)
 
 
 def clean(col: Column) -> Column:
@@ -41,8 +41,13 @@ def clean(col: Column) -> Column:
 
 
 def slugify(col: Column) -> Column:
-    """Page slug: combining marks become separators; never truncated."""
-    marked = F.regexp_replace(F.lower(clean(col)), f"([{_ACCENTED}])", "$1" + _MARK)
+    """Page slug: combining marks become separators; never truncated.
+
+    Any other character beyond ASCII turns into a separator anyway, so one is put behind all
+    of them before accented letters fold to their base.
+    """
+    plain = F.translate(F.lower(clean(col)), _PLAIN_FROM, _PLAIN_TO)
+    marked = F.regexp_replace(plain, r"([^\x00-\x7F])", "$1-")
     folded = F.translate(marked, _FOLD_FROM, _FOLD_TO)
     return F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

@@ -8,33 +8,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?"
+_DEFAULT_PORT = r"^(http://.*):80$|^(https://.*):443$"
 
 
 def scheme_of(col: Column) -> Column:
     return F.lower(F.regexp_extract(col, _URL, 1))
 
 
-def host_of(col: Column) -> Column:
-    """Host with any non-default port; null when the URL does not parse."""
-    authority = F.lower(F.regexp_extract(col, _URL, 2))
-    default = F.when(scheme_of(col) == "http", r":80$").otherwise(r":443$")
-    host = F.regexp_replace(authority, default, F.lit(""))
-    return F.when(F.try_parse_url(col, F.lit("HOST")).isNotNull() & (host != ""), host)
+def origin_of(col: Column) -> Column:
+    """Scheme and host with any non-default port; null when the URL does not parse."""
+    start = F.regexp_extract(col, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", 0)
+    bare = F.regexp_replace(F.lower(start), "//[^@]*@", "//")
+    origin = F.regexp_replace(bare, _DEFAULT_PORT, "$1$2")
+    return F.when(F.try_parse_url(col, F.lit("HOST")).isNotNull(), origin)
 
 
-def origin_of(col: Column) -> Column:
-    return F.concat(scheme_of(col), F.lit("://"), host_of(col))
+def host_of(col: Column) -> Column:
+    return F.nullif(F.regexp_extract(origin_of(col), "://(.*)$", 1), F.lit(""))
 
 
 def path_and_query(col: Column) -> Column:
     """What robots rules are matched against: path (at least "/") plus query."""
-    path = F.regexp_extract(col, _URL, 3)
-    return F.concat(F.when(path == "", "/").otherwise(path), query_of(col))
+    path = F.regexp_replace(F.regexp_extract(col, _URL, 3), "^$", "/")
+    return F.concat(path, query_of(col))
 
 
 def query_of(col: Column) -> Column:
-    query = F.regexp_extract(col, _URL, 4)
-    return F.when(query == "?", "").otherwise(query)
+    return F.regexp_replace(F.regexp_extract(col, _URL, 4), r"^\?$", "")
 
 
 def normalize_url(col: Column) -> Column:
@@ -43,7 +43,7 @@ def normalize_url(col: Column) -> Column:
     Text that is not an absolute URL stays as it is.
     """
     path = F.regexp_replace(F.regexp_extract(col, _URL, 3), "/+$", "")
-    normal = F.concat(origin_of(col), F.when(path == "", "/").otherwise(path), query_of(col))
+    normal = F.concat(origin_of(col), F.regexp_replace(path, "^$", "/"), query_of(col))
     return F.coalesce(normal, col)
 
 

@@ -177,14 +177,25 @@ def with_interval(sources: DataFrame) -> DataFrame:
     return sources.withColumn("recrawl_hours", F.coalesce(stated, default).cast("int"))
 
 
+def _since_and_allowed(now: Column) -> tuple[Column, Column]:
+    since = F.timestamp_diff("HOUR", F.col("last_fetch_at"), now)
+    return since, F.when(F.col("method") == "manual", F.lit(K.MANUAL_OVERDUE_DAYS * 24)).otherwise(
+        F.col("recrawl_hours"))
+
+
+def source_report(sources: DataFrame, now: Column) -> DataFrame:
+    """Every source with its facts and the whole days it is overdue, 0 when it is not."""
+    since, allowed = _since_and_allowed(now)
+    return sources.withColumn("days_overdue", F.greatest(
+        F.lit(0), F.floor((since - allowed) / 24)).cast("int"))
+
+
 def overdue_sources(sources: DataFrame, now: Column) -> DataFrame:
     """Sources past their interval, whole days overdue, and an alert at twice the interval.
 
     Manual sources are overdue 120 days after the last look.
     """
-    since = F.timestamp_diff("HOUR", F.col("last_fetch_at"), now)
-    allowed = F.when(F.col("method") == "manual", F.lit(K.MANUAL_OVERDUE_DAYS * 24)).otherwise(
-        F.col("recrawl_hours"))
+    since, allowed = _since_and_allowed(now)
     return (sources.withColumn("days_overdue", F.floor((since - allowed) / 24).cast("int"))
             .withColumn("alert", since >= 2 * allowed).filter(since > allowed))
 

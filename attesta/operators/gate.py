@@ -15,15 +15,16 @@ def latest_snapshot(snapshots: DataFrame, source: str = "source_id", order: str
     Only (source, order, tie) is aggregated, with map-side combining; the wide row with its
     body is fetched back by key, so bodies of older snapshots never shuffle for this.
     """
-    newest = snapshots.groupBy(source).agg(F.max(F.struct(order, tie)).alias("_top"))
-    keys = newest.select(source, F.col(f"_top.{tie}").alias(tie))
+    place = F.struct(F.col(order).alias("at"), F.col(tie).alias("tie"))
+    newest = snapshots.groupBy(source).agg(F.max(place).alias("_top"))
+    keys = newest.select(source, F.col("_top.tie").alias(tie))
     return snapshots.join(keys, [source, tie], "left_semi")
 
 
 def latest_hash(snapshots: DataFrame, source: str = "source_id", order: str = "fetched_at",
                 tie: str = "snapshot_id") -> DataFrame:
-    newest = snapshots.groupBy(source).agg(
-        F.max(F.struct(order, tie, "content_hash")).alias("_top"))
+    newest = snapshots.groupBy(source).agg(F.max(F.struct(
+        F.col(order).alias("at"), F.col(tie).alias("tie"), "content_hash")).alias("_top"))
     return newest.select(source, F.col("_top.content_hash").alias("previous_hash"))
 
 

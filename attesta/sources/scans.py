@@ -24,9 +24,13 @@ def load_pages(spark: SparkSession, path: str) -> DataFrame:
                       F.col("content").alias("body"), F.col("length").alias("byte_size"))
 
 
-def scan_manifests(spark: SparkSession, root: str, name: str = "MANIFEST.json") -> DataFrame:
-    """One row per captured file listed in any manifest below `root`."""
-    manifests = (spark.read.schema(MANIFEST_DDL).option("multiLine", "true")
+def scan_manifests(spark: SparkSession, root: str, name: str = "MANIFEST.json",
+                   multi_line: bool = True) -> DataFrame:
+    """One row per captured file listed in any manifest below `root`.
+
+    A manifest is one JSON document per file, or one per line without `multi_line`.
+    """
+    manifests = (spark.read.schema(MANIFEST_DDL).option("multiLine", multi_line)
                  .option("recursiveFileLookup", "true").option("pathGlobFilter", name)
                  .json(root).withColumn("manifest", F.input_file_name()))
     folder = F.regexp_replace("manifest", r"/[^/]+$", "")
