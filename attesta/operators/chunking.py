@@ -30,7 +30,11 @@ def markdown_of_html(html: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
                          ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+
+
+def strip(col: Column) -> Column:
+    return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
 def token_count(content: Column) -> Column:
@@ -39,17 +43,17 @@ def token_count(content: Column) -> Column:
 
 def sections(markdown: Column) -> Column:
     """Split at level-2 and level-3 headings; `path` holds the headings above the content."""
-    parts = F.filter(F.split(markdown, r"(?m)(?=^#{2,3} )"), lambda p: F.trim(p) != "")
+    parts = F.filter(F.split(markdown, r"(?m)(?=^#{2,3} )"), lambda p: strip(p) != "")
 
     def heading(part: Column, level: int) -> Column:
-        return F.trim(F.regexp_extract(part, rf"^#{{{level}}} ([^\n]*)", 1))
+        return strip(F.regexp_extract(part, rf"^#{{{level}}} ([^\n]*)", 1))
 
     typed = F.transform(parts, lambda p: F.struct(
         F.when(F.startswith(p, F.lit("## ")), 2).when(F.startswith(p, F.lit("### ")), 3)
         .otherwise(0).alias("level"),
         F.when(F.startswith(p, F.lit("## ")), heading(p, 2)).otherwise(heading(p, 3))
         .alias("head"),
-        F.trim(F.regexp_replace(p, r"^#{2,3} [^\n]*\n?", "")).alias("content")))
+        strip(F.regexp_replace(p, r"^#{2,3} [^\n]*\n?", "")).alias("content")))
 
     def path_at(i: Column, s: Column) -> Column:
         above = F.filter(F.slice(typed, 1, i + 1), lambda x: x["level"] == 2)
@@ -68,7 +72,7 @@ def split_large(parts: Column, limit: int = K.SPLIT_TOKENS) -> Column:
     A single paragraph over the limit stays whole.
     """
     def packed(content: Column) -> Column:
-        paragraphs = F.filter(F.split(content, r"\n+"), lambda p: F.trim(p) != "")
+        paragraphs = F.filter(F.split(content, r"\n+"), lambda p: strip(p) != "")
         start = F.struct(F.array().cast("array<string>").alias("done"),
                          F.lit("").alias("open"), F.lit(0).alias("size"))
 

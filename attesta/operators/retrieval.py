@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attesta import constants as K
 from attesta.functions import text as X
@@ -96,6 +97,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = K.ARM_DEPTH) ->
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, chunk_id {id_type}, score double"
     usable = vectors.filter(F.col("vector").isNotNull()).select("chunk_id", "vector")
+    id_arrow = to_arrow_type(vectors.schema["chunk_id"].dataType)
+    query_arrow = to_arrow_type(queries.schema["query_id"].dataType)
     found = None
     for ids, matrix in _query_blocks(queries):
         block = spark.sparkContext.broadcast((ids, _unit(matrix)))
@@ -123,9 +126,10 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = K.ARM_DEPTH) ->
                 best_ids = np.take_along_axis(best_ids, order, axis=1)
             width = scores.shape[1]
             if width:
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": [q for q in query_ids for _ in range(width)],
-                    "chunk_id": best_ids.ravel().tolist(), "score": scores.ravel()})
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([q for q in query_ids for _ in range(width)], query_arrow),
+                    pa.array(best_ids.ravel().tolist(), id_arrow), pa.array(scores.ravel())],
+                    names=["query_id", "chunk_id", "score"])
 
         part = usable.mapInArrow(search, schema)
         found = part if found is None else found.unionByName(part)

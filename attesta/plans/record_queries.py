@@ -183,24 +183,27 @@ def extract_cards(spark, sf):
 
 
 def _accordions(spark, sf):
-    """An order as an accordion page: lines under their return flag; flag N has no header."""
-    item = F.concat(F.lit('<div class="card-header" id="heading-'), "l_returnflag", F.lit("-"),
-                    F.col("l_linenumber").cast("string"), F.lit('"><h5><a> Part&nbsp;'),
-                    F.col("l_partkey").cast("string"), F.lit("</a></h5></div>"))
-    header = F.concat(F.lit('<div class="card-header" id="heading-'), "l_returnflag",
-                      F.lit('"><h5><a>Flag '), "l_returnflag", F.lit("</a></h5></div>"))
-    lines = load_table(spark, sf, "lineitem")
-    # An order has a handful of lines, so a page is a small group.
-    return lines.groupBy(F.col("l_orderkey").alias("page_id")).agg(
-        F.array_distinct(F.sort_array(F.collect_list(F.when(F.col("l_returnflag") != "N", header))))
-        .alias("h"), F.sort_array(F.collect_list(item)).alias("i")).select(
-        "page_id", F.array_join(F.concat("h", "i"), "\n").alias("html"))
-
-
-@query("extract_nested", """SELECT l_orderkey AS page_id, l_returnflag AS group_id,
-  CAST(l_linenumber AS VARCHAR) AS item_id, 'Part ' || l_partkey AS name,
-  CASE WHEN l_returnflag <> 'N' THEN 'Flag ' || l_returnflag END AS group_name,
-  CASE WHEN l_returnflag = 'N' THEN 'item has no group header' END AS warning FROM lineitem""")
+    """A document as an accordion page: its lines under its language; German has no header."""
+    def div(ident, text):
+        safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"),
+                                   F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.concat(F.lit('<div class="card-header" id="heading-'), ident, F.lit('"><h5><a>'),
+                        safe, F.lit("</a></h5></div>"))
+
+    lines = F.transform(F.split("text", "\n"), lambda line, i: div(
+        F.concat("lang", F.lit("-"), i.cast("string")), line))
+    header = F.when(F.col("lang") != "de", div(F.col("lang"), F.concat(F.lit("Group "), "lang")))
+    return load_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("page_id"),
+        F.array_join(F.concat(F.array(header), lines), "\n").alias("html"))
+
+
+@query("extract_nested", f"""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
+SELECT doc_id AS page_id, lang AS group_id, CAST(i AS VARCHAR) AS item_id,
+  {CLEAN_SQL.format(x="line")} AS name, CASE WHEN lang <> 'de' THEN 'Group ' || lang END AS group_name,
+  CASE WHEN {CLEAN_SQL.format(x="line")} = '' THEN 'item has no name'
+    WHEN lang = 'de' THEN 'item has no group header' END AS warning FROM l""")
 def extract_nested(spark, sf):
     return E.extract_nested(_accordions(spark, sf)).drop("pos")
 

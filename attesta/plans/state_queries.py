@@ -501,9 +501,9 @@ def batch_report(spark, sf):
 
 @query("batch_freshness", f"""WITH {B.CLASSIFIED_SQL}, s AS (SELECT entity_type,
   {_REPORT_LEVEL} AS confidence, CASE WHEN class IN ('missing', 'untouched') THEN old_seen_at
-    ELSE TIMESTAMP '{B.NOW_TEXT}' END AS at FROM classified)
-SELECT entity_type, {B.sql_day("min(at)")} AS oldest_verified_at,
-  CAST(max(datediff('day', at, TIMESTAMP '{B.NOW_TEXT}')) AS INTEGER) AS max_staleness_days,
+    ELSE TIMESTAMP '{B.NOW_TEXT}' END AS verified FROM classified)
+SELECT entity_type, {B.sql_day("min(verified)")} AS oldest_verified_at,
+  CAST(max(datediff('day', verified, TIMESTAMP '{B.NOW_TEXT}')) AS INTEGER) AS max_staleness_days,
   CASE min(CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END)
     WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS min_confidence,
   count(*) FILTER (confidence = 'high') AS n_high,

@@ -58,10 +58,10 @@ def content_gate_step(state_path: str, out_path: str, chunk: Column, order: str
                                               "batch_id bigint")
         before = state.filter(F.col("batch_id") < batch_id)
         seen = previous_value(batch, ["source_id"], [order, "snapshot_id"], chunk,
-                              "content_hash", "_lag").join(
+                              "content_hash", "_before").join(
             before.select("source_id", "last_hash"), "source_id", "left")
         passed = seen.filter(~F.col("content_hash").eqNullSafe(
-            F.coalesce("_lag", "last_hash"))).drop("_lag", "last_hash")
+            F.coalesce("_before", "last_hash"))).drop("_before", "last_hash")
         passed.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         latest = batch.groupBy("source_id").agg(
             F.max(F.struct(F.col(order).alias("at"), "snapshot_id", "content_hash")).alias("_t"))
