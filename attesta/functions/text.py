@@ -9,10 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Whitespace as browsers' regular expressions see it, wider than Java's \s.
-_WIDE_SPACES = [0x0B, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
-                0x3000, 0xFEFF]
-_SPACE = r"[\s" + "".join(map(chr, _WIDE_SPACES)) + "]+"
+# Whitespace as browsers' regular expressions see it: Unicode space, the byte-order mark, and
+# not the next-line control.
+_SPACE = r"(?U)[\s\x{FEFF}&&[^\x85]]+"
 
 
 def _fold_table() -> tuple[str, str]:

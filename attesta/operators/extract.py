@@ -33,9 +33,8 @@ def text_of(markup: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Attribute of an opening tag, null when absent."""
-    quoted = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 0)
-    value = F.regexp_replace(quoted, r"(?s)^[^=]*=\s*[\"']|[\"']$", "")
-    return F.when(quoted != "", unescape(value))
+    value = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*([\"'])(.*?)\1", 2)
+    return F.when(F.regexp(tag, F.lit(rf"(?i)\s{name}\s*=")), unescape(value))
 
 
 def extract_anchors(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -314,7 +313,9 @@ def owner_from_tokens(df: DataFrame, known: Sequence[str], tokens: Column,
 def verbatim_check(records: DataFrame, pages: DataFrame, name: str = "name",
                    html: str = "html") -> DataFrame:
     """Whether each emitted name occurs word for word in the page it came from."""
-    bodies = pages.select("page_id", text_of(F.col(html)).alias("_text"))
+    # The generator settles the text once per page; a plain projection would be worked out
+    # again for every record the join finds.
+    bodies = pages.select("page_id", F.explode(F.array(text_of(F.col(html)))).alias("_text"))
     return records.join(bodies, "page_id").withColumn(
         "verbatim", F.contains("_text", X.clean(F.col(name)))).drop("_text")
 

@@ -36,14 +36,18 @@ def match_normalized(names: DataFrame, registry: DataFrame, name: str = "name")
                       "left").drop("candidate")
 
 
-def _ranked_grams(texts: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(text, gram, place, size): grams of each text, rarest first, place from 0."""
-    grams = texts.select("text", F.explode(X.trigrams(F.col("text"))).alias("gram"))
-    weighted = grams.join(frequency, "gram", "left").groupBy("text").agg(
+def _identified(texts: DataFrame) -> DataFrame:
+    """Distinct texts under a 16-byte id, so that joins move ids instead of texts."""
+    return texts.select("text").distinct().withColumn("id", F.unhex(F.md5("text")))
+
+
+def _gram_sets(texts: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(id, grams): the distinct grams of each text, rarest first."""
+    grams = texts.select("id", F.explode(X.trigrams(F.col("text"))).alias("gram"))
+    return grams.join(frequency, "gram", "left").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct(
-            F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))).alias("grams"))
-    return weighted.select("text", F.size("grams").alias("size"),
-                           F.posexplode("grams.gram").alias("place", "gram"))
+            F.coalesce("freq", F.lit(0)).alias("freq"), "gram"))).alias("_g")).select(
+        "id", F.col("_g.gram").alias("grams"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float,
@@ -51,29 +55,41 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float,
     """All pairs of distinct texts (column `text` on both sides) with trigram similarity at
     or above the threshold, as (left_text, right_text, score). Exact.
 
-    Two sets can only reach similarity t if their sizes lie within a factor t and they share
-    one of the `n - ceil(t*n) + 1` rarest grams of each, under one global order. Only those
-    grams are joined; survivors are verified on the full sets. Texts are made distinct first,
-    so copies never multiply candidates.
+    Two sets reach similarity t only if their sizes lie within a factor t of each other and,
+    under one global order of grams, they share one of the first `n - ceil(t*n) + 1` of each.
+    So only those grams, the rarest, are joined. The places of the first shared gram also bound
+    how many grams can follow, which drops most of the pairs that remain; the rest are verified
+    on their full sets. Texts are made distinct first, so copies never multiply candidates.
     """
-    left, right = left.select("text").distinct(), right.select("text").distinct()
+    left, right = _identified(left), _identified(right)
     frequency = right.select(F.explode(X.trigrams(F.col("text"))).alias("gram")).groupBy(
         "gram").agg(F.count(F.lit(1)).alias("freq"))
-    # The epsilon only widens the filter, against rounding of t*n.
-    in_prefix = F.col("place") < F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1
-
-    def prefix(texts: DataFrame, side: str) -> DataFrame:
-        return _ranked_grams(texts, frequency).filter(in_prefix).select(
-            "gram", F.col("text").alias(f"{side}_text"), F.col("size").alias(f"{side}_size"))
-
-    close = ((F.col("left_size") >= threshold * F.col("right_size") - 1e-9)
-             & (F.col("right_size") >= threshold * F.col("left_size") - 1e-9))
-    pairs = (prefix(left, "left").join(prefix(right, "right"), "gram").filter(close)
-             .select("left_text", "right_text").distinct())
-    score = X.trigram_similarity(F.col("left_text"), F.col("right_text"))
-    scored = pairs.withColumn("score", score)
+    left_sets, right_sets = _gram_sets(left, frequency), _gram_sets(right, frequency)
+
+    def prefix(sets: DataFrame, side: str) -> DataFrame:
+        size = F.size("grams")
+        # The small constant only widens the filters, against rounding of t*n.
+        first = size - F.ceil(threshold * size - 1e-9) + 1
+        return sets.select(
+            F.col("id").alias(f"{side}_id"), size.alias(f"{side}_size"),
+            F.posexplode(F.slice("grams", 1, first.cast("int"))).alias(f"{side}_place", "gram"))
+
+    l_size, r_size = F.col("left_size"), F.col("right_size")
+    close = (l_size >= threshold * r_size - 1e-9) & (r_size >= threshold * l_size - 1e-9)
+    still = F.least(l_size - F.col("left_place"), r_size - F.col("right_place"))
+    enough = still >= threshold / (1 + threshold) * (l_size + r_size) - 1e-9
+    pairs = (prefix(left_sets, "left").join(prefix(right_sets, "right"), "gram")
+             .filter(close & enough).select("left_id", "right_id").distinct())
+    score = X.similarity_of_grams(F.col("left_grams"), F.col("right_grams"))
+    scored = (pairs.join(left_sets.toDF("left_id", "left_grams"), "left_id")
+              .join(right_sets.toDF("right_id", "right_grams"), "right_id")
+              .select("left_id", "right_id", score.alias("score")))
     keep = F.col("score") >= threshold if inclusive else F.col("score") > threshold
-    return scored.filter(keep)
+    return (scored.filter(keep)
+            .join(left.select(F.col("id").alias("left_id"), F.col("text").alias("left_text")),
+                  "left_id")
+            .join(right.select(F.col("id").alias("right_id"), F.col("text").alias("right_text")),
+                  "right_id").select("left_text", "right_text", "score"))
 
 
 def match_trigram(names: DataFrame, registry: DataFrame, threshold: float = K.TRIGRAM_THRESHOLD,

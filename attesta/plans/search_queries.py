@@ -9,6 +9,7 @@ from attesta.operators import chunking as J
 from attesta.operators import retrieval as R
 from attesta.plans import bindings as B
 from attesta.plans.registry import query
+from attesta.session import materialize
 from attesta.sources.scans import load_table
 
 
@@ -138,8 +139,9 @@ def context_header(spark, sf):
 SELECT DISTINCT entity_id, content_hash FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM keyed s
   WHERE s.stored AND s.entity_id = k.entity_id AND s.content_hash = k.content_hash)""")
 def new_chunks(spark, sf):
-    rows = chunks(spark, sf).select("doc_id", F.lit("document").alias("entity_type"),
-                                    F.col("source").alias("entity_id"), "content_hash")
+    rows = materialize(chunks(spark, sf).select(
+        "doc_id", F.lit("document").alias("entity_type"), F.col("source").alias("entity_id"),
+        "content_hash"), "chunk-keys")
     stored = rows.join(load_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     return J.new_chunks(rows, stored).select("entity_id", "content_hash")
 
