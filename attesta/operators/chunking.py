@@ -15,7 +15,6 @@ from attesta.functions.hashing import content_hash
 # Separators of the context header.
 _TRAIL = f" {chr(0x203A)} "
 _DOT = f" {chr(0xB7)} "
-_SECTION = "struct<path:array<string>,content:string>"
 
 
 def markdown_of_html(html: Column) -> Column:
@@ -42,28 +41,23 @@ def token_count(content: Column) -> Column:
 
 
 def sections(markdown: Column) -> Column:
-    """Split at level-2 and level-3 headings; `path` holds the headings above the content."""
-    parts = F.filter(F.split(markdown, r"(?m)(?=^#{2,3} )"), lambda p: strip(p) != "")
+    """Split at level-2 and level-3 headings; `path` holds the headings above the content.
 
+    Blocks are cut at level 2, then each block at level 3, so every heading is looked at once.
+    """
     def heading(part: Column, level: int) -> Column:
-        return strip(F.regexp_extract(part, rf"^#{{{level}}} ([^\n]*)", 1))
-
-    typed = F.transform(parts, lambda p: F.struct(
-        F.when(F.startswith(p, F.lit("## ")), 2).when(F.startswith(p, F.lit("### ")), 3)
-        .otherwise(0).alias("level"),
-        F.when(F.startswith(p, F.lit("## ")), heading(p, 2)).otherwise(heading(p, 3))
-        .alias("head"),
-        strip(F.regexp_replace(p, r"^#{2,3} [^\n]*\n?", "")).alias("content")))
+        found = strip(F.regexp_extract(part, rf"^#{{{level}}} ([^\n]*)", 1))
+        return F.when(F.startswith(part, F.lit("#" * level + " ")), found)
 
-    def path_at(i: Column, s: Column) -> Column:
-        above = F.filter(F.slice(typed, 1, i + 1), lambda x: x["level"] == 2)
-        parent = F.try_element_at(above, F.lit(-1))["head"]
-        return (F.when(s["level"] == 2, F.array(s["head"]))
-                .when(s["level"] == 3, F.array_compact(F.array(parent, s["head"])))
-                .otherwise(F.array().cast("array<string>")))
+    def section(block: Column, part: Column) -> Column:
+        return F.struct(
+            F.array_compact(F.array(heading(block, 2), heading(part, 3))).alias("path"),
+            strip(F.regexp_replace(part, r"^#{2,3} [^\n]*\n?", "")).alias("content"))
 
-    return F.transform(typed, lambda s, i: F.struct(
-        path_at(i, s).alias("path"), s["content"].alias("content")))
+    blocks = F.split(markdown, r"(?m)(?=^## )")
+    return F.flatten(F.transform(blocks, lambda block: F.transform(
+        F.filter(F.split(block, r"(?m)(?=^### )"), lambda p: strip(p) != ""),
+        lambda part: section(block, part))))
 
 
 def split_large(parts: Column, limit: int = K.SPLIT_TOKENS) -> Column:
@@ -103,18 +97,22 @@ def merge_small(parts: Column, limit: int = K.MERGE_TOKENS) -> Column:
     def parent(s: Column) -> Column:
         return F.slice(s["path"], 1, F.greatest(F.size(s["path"]) - 1, F.lit(0)))
 
-    start = F.array().cast(f"array<{_SECTION}>")
+    counted = F.transform(parts, lambda s: F.struct(
+        s["path"].alias("path"), s["content"].alias("content"),
+        token_count(s["content"]).alias("n")))
+    start = F.array().cast("array<struct<path:array<string>,content:string,n:int>>")
 
     def add(done: Column, s: Column) -> Column:
         last = F.try_element_at(done, F.lit(-1))
-        joins = (F.size(done) > 0) & (token_count(last["content"]) < limit) & (
-            parent(last) == parent(s))
-        merged = F.struct(last["path"].alias("path"),
-                          F.concat_ws("\n\n", last["content"], s["content"]).alias("content"))
+        joins = (F.size(done) > 0) & (last["n"] < limit) & (parent(last) == parent(s))
+        merged = F.struct(
+            last["path"].alias("path"),
+            F.concat_ws("\n\n", last["content"], s["content"]).alias("content"),
+            (last["n"] + s["n"]).alias("n"))
         return F.when(F.coalesce(joins, F.lit(False)), F.array_append(
             F.slice(done, 1, F.size(done) - 1), merged)).otherwise(F.array_append(done, s))
 
-    return F.aggregate(parts, start, add)
+    return F.aggregate(counted, start, add)
 
 
 def context_header(site: Column, title: Column, edition: Column, path: Column) -> Column:
@@ -134,7 +132,7 @@ def chunk(docs: DataFrame, markdown: str = "markdown", split: int = K.SPLIT_TOKE
     return docs.select(*kept, F.posexplode(merged).alias("chunk_no", "_chunk")).select(
         *kept, "chunk_no", F.col("_chunk.path").alias("path"),
         F.col("_chunk.content").alias("content"),
-        token_count(F.col("_chunk.content")).alias("token_count"),
+        F.col("_chunk.n").alias("token_count"),
         content_hash(F.col("_chunk.content")).alias("content_hash"))
 
 
