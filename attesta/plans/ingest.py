@@ -22,6 +22,7 @@ from attesta.sources import store
 
 @dataclass
 class RunPlan:
+    run_id: str
     verdicts: DataFrame
     classified: DataFrame
     next_state: DataFrame
@@ -74,17 +75,21 @@ def plan(incoming: DataFrame, table: DataFrame, parsed_sources: DataFrame,
     if name is not None:
         next_state = next_state.unionByName(L.retire_superseded(table, moves, keys[-1]))
         events = events.unionByName(move_events.withColumn("entity_type", typed))
-    return RunPlan(verdicts, classified, next_state, events, batches, payload, aliases)
+    return RunPlan(run_id, verdicts, classified, next_state, events, batches, payload, aliases)
 
 
-def commit(run: RunPlan, root: str, table: str, cluster_by: Sequence[str] = ()) -> int:
-    """Write a run: logs first, the table last, so a state never precedes its events."""
-    store.append_log(run.quarantine, f"{root}/quarantine")
-    store.append_log(run.quarantine_payload, f"{root}/quarantine_payload")
-    store.append_log(run.events, f"{root}/change_events")
+def commit(run: RunPlan, root: str, table: str, cluster_by: Sequence[str] = (),
+           version: int | None = None) -> int:
+    """Write a run: logs first, the table last, so a state never precedes its events.
+
+    A run that failed half-way and is repeated replaces its own logs.
+    """
+    store.write_log(run.quarantine, f"{root}/quarantine", run.run_id)
+    store.write_log(run.quarantine_payload, f"{root}/quarantine_payload", run.run_id)
+    store.write_log(run.events, f"{root}/change_events", run.run_id)
     if run.aliases is not None:
-        store.append_log(run.aliases, f"{root}/slug_aliases")
-    return store.write_version(run.next_state, f"{root}/{table}", cluster_by)
+        store.write_log(run.aliases, f"{root}/slug_aliases", run.run_id)
+    return store.write_version(run.next_state, f"{root}/{table}", cluster_by, version)
 
 
 def publish_all(steps: Mapping[str, Callable[[dict[str, DataFrame]], DataFrame]]

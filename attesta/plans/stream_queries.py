@@ -59,7 +59,7 @@ def stream_upsert(spark, sf):
         B.pick(B.STATUS_BY_CODE, F.col("o_orderstatus")).alias("status"),
         F.floor(F.col("o_totalprice") / 100000).cast("int").alias("band"))
 
-    def plan_batch(batch, table):
+    def plan_batch(batch, table, run_id):
         # The newest delivery of a key speaks for the batch.
         newest = batch.groupBy("source_id").agg(F.max(F.struct("pos", "status", "band")).alias("_t")
                                                 ).select("source_id", "_t.*")
@@ -70,7 +70,7 @@ def stream_upsert(spark, sf):
         none = spark.createDataFrame(
             [], "owner string, entity_type string, min_rows int, max_rows int")
         return ingest.plan(coming, table, coming.select("source_id").distinct(), none,
-                           entity_type="document", run_id="stream", now=B.now(), fields=FIELDS)
+                           entity_type="document", run_id=run_id, now=B.now(), fields=FIELDS)
 
     def empty(session):
         return B.published(session, sf).drop("entity_type", "entity_ref").limit(0)

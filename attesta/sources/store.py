@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,9 @@ def snapshot_log(snapshots: DataFrame, outcomes: DataFrame, key: str = "snapshot
     return joined.withColumn("parse_status", status)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def write_log(rows: DataFrame, path: str, run_id: str) -> None:
+    """A run's log rows in a folder of their own, so that a repeated run replaces them."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run_id}")
 
 
 def run_summary(gate_counts: DataFrame, class_counts: DataFrame, quarantined: DataFrame,
@@ -129,24 +131,32 @@ def snapshots_as_of(snapshots: DataFrame, at: Column) -> DataFrame:
 # Plain Parquet has no MERGE. A table's next state is written whole beside the old one, and
 # a row in the `versions` log makes it the current one, so readers see all of it or none.
 
-def current_version(spark: SparkSession, path: str) -> int | None:
+def current_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """Newest committed version, or the newest before `below`."""
     try:
         log = spark.read.schema("version long").parquet(f"{path}/versions")
-    except Exception as error:
+    except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
+    if below is not None:
+        log = log.filter(F.col("version") < below)
     return log.agg(F.max("version")).first()[0]
 
 
-def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
-    version = current_version(spark, path) if version is None else version
+def read_version(spark: SparkSession, path: str, version: int | None = None,
+                 below: int | None = None) -> DataFrame | None:
+    version = current_version(spark, path, below) if version is None else version
     return None if version is None else spark.read.parquet(f"{path}/v{version:08d}")
 
 
-def write_version(df: DataFrame, path: str, cluster_by: Sequence[str] = ()) -> int:
+def write_version(df: DataFrame, path: str, cluster_by: Sequence[str] = (),
+                  version: int | None = None) -> int:
+    """Write the next state, or the given version: a stream batch that is delivered again
+    writes its own version again, from the version before it."""
     spark = df.sparkSession
-    version = (current_version(spark, path) or 0) + 1
+    if version is None:
+        version = (current_version(spark, path) or 0) + 1
     rows = df.sortWithinPartitions(*cluster_by) if cluster_by else df
     rows.write.mode("overwrite").parquet(f"{path}/v{version:08d}")
     spark.range(version, version + 1).toDF("version").write.mode("append").parquet(

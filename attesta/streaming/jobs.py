@@ -52,39 +52,38 @@ def content_gate_step(state_path: str, out_path: str, chunk: Column, order: str
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        state = store.read_version(spark, state_path)
-        if state is None:
-            state = spark.createDataFrame([], "source_id string, last_hash string, at bigint, "
-                                              "batch_id bigint")
-        before = state.filter(F.col("batch_id") < batch_id)
+        before = store.read_version(spark, state_path, below=batch_id + 1)
+        if before is None:
+            before = spark.createDataFrame([], "source_id string, last_hash string")
         seen = previous_value(batch, ["source_id"], [order, "snapshot_id"], chunk,
-                              "content_hash", "_before").join(
-            before.select("source_id", "last_hash"), "source_id", "left")
+                              "content_hash", "_before").join(before, "source_id", "left")
         passed = seen.filter(~F.col("content_hash").eqNullSafe(
             F.coalesce("_before", "last_hash"))).drop("_before", "last_hash")
         passed.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        latest = batch.groupBy("source_id").agg(
-            F.max(F.struct(F.col(order).alias("at"), "snapshot_id", "content_hash")).alias("_t"))
-        merged = before.unionByName(latest.select(
-            "source_id", F.col("_t.content_hash").alias("last_hash"),
-            F.col("_t.at").cast("bigint").alias("at"),
-            F.lit(batch_id).cast("bigint").alias("batch_id")))
-        store.write_version(merged.groupBy("source_id").agg(
-            F.max_by("last_hash", "batch_id").alias("last_hash"),
-            F.max_by("at", "batch_id").alias("at"), F.max("batch_id").alias("batch_id")),
-            state_path)
+        latest = batch.groupBy("source_id").agg(F.max(F.struct(
+            F.col(order).alias("at"), "snapshot_id", "content_hash")).alias("_t")).select(
+            "source_id", F.col("_t.content_hash").alias("fresh"))
+        after = before.join(latest, "source_id", "full_outer").select(
+            "source_id", F.coalesce("fresh", "last_hash").alias("last_hash"))
+        store.write_version(after, state_path, version=batch_id + 1)
     return step
 
 
-def upsert_step(root: str, table: str, plan_batch: Callable[[DataFrame, DataFrame], object],
+def upsert_step(root: str, table: str,
+                plan_batch: Callable[[DataFrame, DataFrame, str], object],
                 empty: Callable[[SparkSession], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Run a whole publish plan per batch: validated records in, next table version out."""
+    """Run a whole publish plan per batch: validated records in, next table version out.
+
+    Version and run id follow the batch number, so a replayed batch starts from the state
+    before it: rows are not aged twice and events are not doubled.
+    """
     from attesta.plans.ingest import commit
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = store.read_version(spark, f"{root}/{table}")
-        commit(plan_batch(batch, empty(spark) if current is None else current), root, table)
+        current = store.read_version(spark, f"{root}/{table}", below=batch_id + 1)
+        run = plan_batch(batch, empty(spark) if current is None else current, f"batch-{batch_id}")
+        commit(run, root, table, version=batch_id + 1)
     return step
 
 
@@ -100,13 +99,13 @@ def miss_counter_step(state_path: str) -> Callable[[DataFrame, int], None]:
         sightings = batch.groupBy("source_id", "ref").agg(F.max("run_no").alias("run_no"))
         looked = batch.groupBy("source_id", "run_no").agg(F.lit(None).cast("string").alias("ref"))
         rows = sightings.unionByName(looked)
-        state = store.read_version(spark, state_path)
+        state = store.read_version(spark, state_path, below=batch_id + 1)
         if state is not None:
             rows = rows.unionByName(state)
         seen = rows.filter(F.col("ref").isNotNull()).groupBy("source_id", "ref").agg(
             F.max("run_no").alias("run_no"))
         runs = rows.filter(F.col("ref").isNull()).select("source_id", "run_no", "ref").distinct()
-        store.write_version(seen.unionByName(runs), state_path)
+        store.write_version(seen.unionByName(runs), state_path, version=batch_id + 1)
     return step
 
 
