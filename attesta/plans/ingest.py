@@ -17,6 +17,7 @@ from attesta.functions.confidence import confidence
 from attesta.operators import lifecycle as L
 from attesta.operators import reconcile as R
 from attesta.operators.match import merge_by_key
+from attesta.session import materialize
 from attesta.sources import store
 
 
@@ -40,21 +41,29 @@ def plan(incoming: DataFrame, table: DataFrame, parsed_sources: DataFrame,
          expectations: DataFrame, *, entity_type: str, run_id: str, now: Column,
          fields: Sequence[str], keys: Sequence[str] = ("site", "slug"),
          mode: str = "incremental", order: Sequence[str] = ("pos",),
-         arrays: Sequence[str] = (), name: str | None = None) -> RunPlan:
+         arrays: Sequence[str] = (), name: str | None = None, settle: bool = False) -> RunPlan:
     """Plan one entity type of a run over any number of owners at once.
 
     `incoming`: validated records with owner, keys, fields, source_id, status and `order`.
     `table`: published rows with owner and the provenance columns. With `name`, rows are
     followed across keys by that durable name.
+
+    The plan is lazy. With `settle`, the frames that several outputs share (merged batch,
+    verdicts, moves, classified rows) are written once to the shared folder: state, events and
+    logs are then narrow scans, and the guard and the full-outer join run once per run.
     """
     keys = list(keys)
-    merged = merge_by_key(incoming, keys, order, arrays).drop("merged_rows")
+
+    def shared(df: DataFrame, label: str) -> DataFrame:
+        return materialize(df, label) if settle else df
+
+    merged = shared(merge_by_key(incoming, keys, order, arrays).drop("merged_rows"), "merged")
     in_scope = R.scope(table, parsed_sources)
     typed = F.lit(entity_type)
     counts = R.guard_inputs(merged.withColumn("entity_type", typed),
                             incoming.select("owner", typed.alias("entity_type")),
                             in_scope.withColumn("entity_type", typed), expectations)
-    verdicts = R.guard(counts, mode)
+    verdicts = shared(R.guard(counts, mode), "verdicts")
     held = verdicts.filter(F.col("action") == "quarantine").select("owner").distinct()
     passed = merged.join(held, "owner", "left_anti")
     batches, payload = R.quarantine_rows(verdicts, merged.withColumn("entity_type", typed),
@@ -65,10 +74,11 @@ def plan(incoming: DataFrame, table: DataFrame, parsed_sources: DataFrame,
     examined = parsed_sources.join(held_sources, "source_id", "left_anti")
     if name is not None:
         live = R.scope(table, examined)
-        moves = L.renames(incoming.join(held, "owner", "left_anti"), live, keys[-1], name, order)
+        moves = shared(L.renames(incoming.join(held, "owner", "left_anti"), live, keys[-1], name,
+                                 order), "moves")
         aliases, move_events = L.aliases_of(moves), L.move_events(moves, run_id, now)
         current = L.apply_renames(table, moves, keys[-1])
-    classified = R.reconcile(passed, current, keys, fields, examined)
+    classified = shared(R.reconcile(passed, current, keys, fields, examined), "classified")
     level = confidence(F.lit("crawl"), typed, F.lit(0))
     next_state = R.publish(classified, current, level, now)
     events = R.change_events(classified, F.concat_ws("/", *keys), typed, run_id, now)

@@ -70,7 +70,8 @@ def stream_upsert(spark, sf):
         none = spark.createDataFrame(
             [], "owner string, entity_type string, min_rows int, max_rows int")
         return ingest.plan(coming, table, coming.select("source_id").distinct(), none,
-                           entity_type="document", run_id=run_id, now=B.now(), fields=FIELDS)
+                           entity_type="document", run_id=run_id, now=B.now(), fields=FIELDS,
+                           settle=True)
 
     def empty(session):
         return B.published(session, sf).drop("entity_type", "entity_ref").limit(0)

@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[4]").appName("tests")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.sql.shuffle.partitions", "4").getOrCreate())
+               .config("spark.sql.shuffle.partitions", "2").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     from attesta.session import configure
     configure(session)

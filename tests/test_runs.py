@@ -41,7 +41,7 @@ class Catalogue:
         plan = ingest.plan(
             incoming, self.table, parsed, self.spark.createDataFrame(list(expect), EXPECT),
             entity_type="program_offering", run_id=f"r{self.run_no}", now=day(self.run_no),
-            fields=FIELDS, mode=mode, arrays=["majors"], name=name)
+            fields=FIELDS, mode=mode, arrays=["majors"], name=name, settle=True)
         self.last = plan
         self.events = sorted((e.entity_ref, e.operation) for e in plan.events.collect())
         self.verdicts = plan.verdicts.collect()
