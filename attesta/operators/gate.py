@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.operators.skew import previous_value
@@ -10,15 +10,14 @@ from attesta.operators.skew import previous_value
 
 def latest_snapshot(snapshots: DataFrame, source: str = "source_id", order: str = "fetched_at",
                     tie: str = "snapshot_id") -> DataFrame:
-    """Newest snapshot of every source.
+    """Newest snapshot of every source, with its body.
 
-    Only (source, order, tie) is aggregated, with map-side combining; the wide row with its
-    body is fetched back by key, so bodies of older snapshots never shuffle for this.
+    Spark keeps one row per source and task before the shuffle, so a source with very many
+    snapshots sends one body per task and older bodies stay where they are.
     """
-    place = F.struct(F.col(order).alias("at"), F.col(tie).alias("tie"))
-    newest = snapshots.groupBy(source).agg(F.max(place).alias("_top"))
-    keys = newest.select(source, F.col("_top.tie").alias(tie))
-    return snapshots.join(keys, [source, tie], "left_semi")
+    newest_first = Window.partitionBy(source).orderBy(F.desc(order), F.desc(tie))
+    return snapshots.withColumn("_n", F.row_number().over(newest_first)).filter(
+        F.col("_n") == 1).drop("_n")
 
 
 def latest_hash(snapshots: DataFrame, source: str = "source_id", order: str = "fetched_at",

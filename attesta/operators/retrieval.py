@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from attesta import constants as K
 from attesta.functions import text as X
+from attesta.session import materialize
 
 QUERY_BLOCK = 2048
 
@@ -31,19 +32,24 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = K.ARM_DEPTH,
     `queries`: (query_id, text); `chunks`: (chunk_id, content). Filters on chunks belong before
     this call, so they narrow the scan.
 
-    Only postings of query terms are built, already counted per (chunk, term). A query starts
-    from its rarest term alone: common words never meet in a join on the word itself.
+    Only postings of query terms are built, counted per (chunk, term) and written once, as three
+    later steps read them. A query starts
+    from its rarest term alone: common words never meet in a join on the word itself. Equal
+    query texts are answered once. The vocabulary is written out, so its size is known where
+    Spark decides whether to broadcast it; a large one is joined by shuffle.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(X.tokens(F.col("text"))))
-                           .alias("term"))
-    vocabulary = terms.select("term").distinct()
+    asked = queries.select("query_id", F.unhex(F.md5("text")).alias("_text_id"), "text")
+    terms = asked.select("_text_id", "text").dropDuplicates(["_text_id"]).select(
+        F.col("_text_id").alias("query_id"),
+        F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
+    vocabulary = materialize(terms.select("term").distinct(), "vocabulary")
     words = chunks.select("chunk_id", X.tokens(F.col(content)).alias("_words"))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_words")).alias("avg_len"))
-    postings = (words.select("chunk_id", F.size("_words").alias("len"),
-                             F.explode("_words").alias("term"))
-                .join(vocabulary, "term", "left_semi")
-                .groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"),
-                                                 F.first("len").alias("len")))
+    postings = materialize(
+        words.select("chunk_id", F.size("_words").alias("len"), F.explode("_words").alias("term"))
+        .join(vocabulary, "term", "left_semi")
+        .groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"),
+                                         F.max("len").alias("len")), "postings")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = terms.join(df, "term", "left")
     per_query = weighted.groupBy("query_id").agg(
@@ -63,8 +69,9 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = K.ARM_DEPTH,
               .agg(F.count(F.lit(1)).alias("_found"), F.sum(gain).alias("score"))
               .filter(F.col("_found") == F.col("needed")))
     # Rounded before ranking, so the order does not hang on the order of a float sum.
-    return top_k(scored.select("query_id", "chunk_id", F.round("score", 6).alias("score")), k,
-                 "lex_rank")
+    best = top_k(scored.select("query_id", "chunk_id", F.round("score", 6).alias("score")), k,
+                 "lex_rank").withColumnRenamed("query_id", "_text_id")
+    return asked.select("query_id", "_text_id").join(best, "_text_id").drop("_text_id")
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:

@@ -245,9 +245,14 @@ def vector_search(spark, sf):
     return R.vector_topk(_topics(spark, sf), _vectors(spark, sf))
 
 
-# Topic L asks with passage L; a vector and the document of the same number are one chunk.
-_HYBRID_SQL = f"""{_VECTOR_SQL}, {_lexical_sql(
-    "SELECT DISTINCT label AS query_id, text FROM embeddings JOIN benchmark ON item_id = label", _DOCS)},
+# Passage i asks with vector i; a vector and the document of the same number are one chunk.
+_HYBRID_SQL = f"""asked AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS v
+  FROM benchmark JOIN embeddings ON vec_id = item_id),
+vector_hits AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(v,
+    CAST(embedding AS DOUBLE[])), 6) AS score FROM asked, embeddings),
+vectors AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)
+  AS INTEGER) AS vec_rank FROM vector_hits QUALIFY vec_rank <= {K.ARM_DEPTH}),
+{_lexical_sql(_PASSAGES, _DOCS)},
 cand AS (SELECT query_id, chunk_id FROM vectors UNION SELECT query_id, chunk_id FROM lexical),
 fused AS (SELECT c.query_id, c.chunk_id, v.vec_rank, l.lex_rank,
     round(coalesce(1.0 / ({K.RRF_K} + v.vec_rank), 0) + coalesce(1.0 / ({K.RRF_K} + l.lex_rank), 0), 9)
@@ -259,12 +264,11 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_
 
 
 def hybrid(spark, sf):
-    topics = load_table(spark, sf, "embeddings").select(F.col("label").alias("query_id")).distinct()
-    asked = topics.join(_passages(spark, sf).withColumn("query_id", F.col("query_id").cast("int")),
-                        "query_id")
-    lex = R.lexical_topk(asked, _docs(spark, sf))
-    vec = R.vector_topk(_topics(spark, sf), _vectors(spark, sf))
-    return R.rrf(lex, vec, 20)
+    passages = _passages(spark, sf)
+    asked = passages.join(_vectors(spark, sf), F.col("query_id") == F.col("chunk_id")).select(
+        "query_id", "vector")
+    lex = R.lexical_topk(passages, _docs(spark, sf))
+    return R.rrf(lex, R.vector_topk(asked, _vectors(spark, sf)), 20)
 
 
 @query("rank_fusion", f"WITH {_HYBRID_SQL} SELECT * FROM ranked")
@@ -304,5 +308,5 @@ FROM ranked r JOIN documents d ON d.doc_id = r.chunk_id WHERE place = 1""")
 def contamination(spark, sf):
     placed = hybrid(spark, sf).join(load_table(spark, sf, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("lang").alias("site")), "chunk_id")
-    asked = _topics(spark, sf).select("query_id", F.lit("en").alias("site"))
+    asked = _passages(spark, sf).select("query_id", F.lit("en").alias("site"))
     return R.contamination(placed, asked).withColumn("contamination", F.round("contamination", 6))

@@ -13,6 +13,7 @@ from attesta.operators import validate as V
 from attesta.plans import bindings as B
 from attesta.plans import ingest
 from attesta.plans.registry import query
+from attesta.session import materialize
 from attesta.sources import store
 from attesta.sources.scans import load_table
 
@@ -102,7 +103,7 @@ def _guard_sql(full: bool) -> str:
         ' count dropped ' || current_count || ' to ' || incoming_count || ' (over 30 percent)'
       WHEN current_count >= 10 AND incoming_count > current_count * 2 THEN entity_type ||
         ' count doubled ' || current_count || ' to ' || incoming_count END AS reason,
-      {skipped} AS skipped FROM counts)"""
+      CAST({skipped} AS VARCHAR) AS skipped FROM counts)"""
 
 
 _VERDICT = """SELECT owner, entity_type, reason, skipped,
@@ -125,7 +126,8 @@ def guard_incremental(spark, sf):
 SELECT i.owner, i.entity_type, i.slug, v.reason FROM incoming i JOIN verdicts v
   ON v.owner = i.owner AND v.entity_type = i.entity_type WHERE v.reason IS NOT NULL""")
 def quarantine_payload(spark, sf):
-    batches, payload = R.quarantine_rows(R.guard(_counts(spark, sf)), B.incoming(spark, sf), "r1")
+    verdicts = materialize(R.guard(_counts(spark, sf)), "verdicts")
+    batches, payload = R.quarantine_rows(verdicts, B.incoming(spark, sf), "r1")
     rows = payload.select("owner", "entity_type",
                           F.get_json_object("payload", "$.slug").alias("slug"))
     return rows.join(batches.select("owner", "entity_type", "reason"), ["owner", "entity_type"])
@@ -298,7 +300,7 @@ SELECT coalesce(CASE WHEN action = 'rename' THEN new_key END, slug) AS slug,
 FROM cur LEFT JOIN moves ON old_key = slug""")
 def apply_renames(spark, sf):
     coming, current = _merges(spark, sf)
-    moves = L.renames(coming, current)
+    moves = materialize(L.renames(coming, current), "moves")
     return L.apply_renames(current, moves).select("slug", "status").unionByName(
         L.retire_superseded(current, moves).select("slug", "status"))
 
@@ -426,7 +428,8 @@ def _run(spark, sf, entity_type):
         [], "owner string, entity_type string, min_rows int, max_rows int")
     return ingest.plan(coming.drop("entity_type", "entity_ref"),
                        table.drop("entity_type", "entity_ref"), B.parsed_sources(spark, sf), none,
-                       entity_type=entity_type, run_id="r1", now=B.now(), fields=FIELDS)
+                       entity_type=entity_type, run_id="r1", now=B.now(), fields=FIELDS,
+                       settle=True)
 
 
 _HELD = """held AS (SELECT owner FROM (
