@@ -209,9 +209,11 @@ def extract_records(pages: DataFrame, rules: Sequence[tuple[str, str]],
 
 @dataclass(frozen=True)
 class CardSpec:
-    """Where a repeated card keeps its parts, as (tag, class) pairs; class may be None."""
+    """Where a repeated card keeps its parts, as (tag, class) pairs; class may be None.
+
+    Without a title part, the text of the whole card is its title."""
     card: tuple[str, str | None]
-    title: tuple[str, str | None]
+    title: tuple[str, str | None] | None = None
     link: tuple[str, str | None] = ("a", None)
     text: tuple[str, str | None] | None = None
     badge: tuple[str, str | None] | None = None
@@ -230,7 +232,7 @@ def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
                 for pos, card in enumerate(parse_html(html).all(*spec.card)):
                     link = card.first(*spec.link)
                     rows.append((page_id, pos, card.attrs.get("class", ""),
-                                 part(card, spec.title) or "",
+                                 (part(card, spec.title) or "") if spec.title else card.text(),
                                  link.attrs.get("href") if link else None,
                                  part(card, spec.text), part(card, spec.badge)))
             yield pd.DataFrame(rows, columns=["page_id", "pos", "classes", "title", "link",

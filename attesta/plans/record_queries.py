@@ -11,6 +11,7 @@ from attesta.operators import extract as E
 from attesta.operators import match as M
 from attesta.operators import validate as V
 from attesta.plans import bindings as B
+from attesta.plans import site_records as P
 from attesta.plans.registry import query
 from attesta.sources.scans import load_table
 
@@ -534,3 +535,51 @@ def sql_functions_query(spark, sf):
       normalize_name(clean(heading)) AS normal_name,
       round(trigram_similarity(heading, lead), 6) AS similarity, conf_rank('high') AS rank
       FROM attesta_page_texts""")
+
+
+# --- page shapes -------------------------------------------------------------------------
+
+_MENU = E.CardSpec(card=("li", None), title=("a", None))
+
+
+@query("menu_offerings", rf"""WITH {_LI}, n AS (SELECT page_id, pos, {B.text_sql("card")} AS name
+  FROM cards), s AS (SELECT *, {slug_sql("name")} AS slug FROM n), k AS (SELECT *, row_number() OVER (
+  PARTITION BY page_id, slug ORDER BY pos) AS i FROM s WHERE name <> '' AND slug <> '')
+SELECT page_id, pos, name AS source_name, slug, CAST(NULL AS VARCHAR) AS unit_slug, 'active' AS status
+FROM k WHERE i = 1""")
+def menu_offerings(spark, sf):
+    records, _ = P.offerings_from_columns(B.pages(spark, sf), ["basd", "eaad"], _MENU)
+    return records.select("page_id", "pos", "source_name", "slug", "unit_slug", "status")
+
+
+@query("menu_warnings", rf"""WITH {_LI}, n AS (SELECT page_id, pos, {B.text_sql("card")} AS name
+  FROM cards), s AS (SELECT *, {slug_sql("name")} AS slug FROM n), k AS (SELECT *, row_number() OVER (
+  PARTITION BY page_id, slug ORDER BY pos) AS i FROM s)
+SELECT page_id, 'card with no title' AS warning FROM s WHERE name = '' UNION ALL
+SELECT page_id, '"' || name || '" gives no slug' FROM s WHERE name <> '' AND slug = '' UNION ALL
+SELECT page_id, 'duplicate on this page: ' || slug FROM k WHERE i > 1 AND slug <> '' UNION ALL
+SELECT page_id, '"' || name || '" names no unit' FROM s WHERE name <> ''""")
+def menu_warnings(spark, sf):
+    return P.offerings_from_columns(B.pages(spark, sf), ["basd", "eaad"], _MENU)[1]
+
+
+@query("accordion_offerings", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+n AS (SELECT doc_id, i, {CLEAN_SQL.format(x="line")} AS name FROM l),
+s AS (SELECT *, {slug_sql("name")} AS slug FROM n WHERE name <> ''),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY i) AS r FROM s WHERE slug <> '')
+SELECT doc_id AS page_id, name AS source_name, slug, 'u' || doc_id AS unit_slug FROM k WHERE r = 1""")
+def accordion_offerings(spark, sf):
+    url = F.concat(F.lit("https://h.org/courses/u"), F.col("page_id").cast("string"))
+    records, _ = P.offerings_from_accordion(_accordions(spark, sf).withColumn("url", url))
+    return records.select("page_id", "source_name", "slug", "unit_slug")
+
+
+@query("anchor_units", rf"""WITH {ANCHORS_SQL}, s AS (SELECT page_id, pos,
+  regexp_extract(a, 'title="([^"]*)"', 1) AS title, regexp_extract(a, 'href="([^"]*)"', 1) AS href
+  FROM anchors) SELECT page_id, count(DISTINCT regexp_extract(href, '([^/]*)/*$', 1)) AS unnamed
+FROM s WHERE href LIKE '/%' AND regexp_extract(href, '([^/]*)/*$', 1) <> '' GROUP BY 1""")
+def anchor_units(spark, sf):
+    """The pages' anchors carry no titles, so every unit is reported as unnamed."""
+    _, warnings = P.units_from_anchors(B.pages(spark, sf), "/")
+    return warnings.groupBy("page_id").agg(F.count(F.lit(1)).alias("unnamed"))
