@@ -12,6 +12,8 @@ def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[4]").appName("tests")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
+               # Tiny rows: compiling whole stages would take longer than running them.
+               .config("spark.sql.codegen.wholeStage", "false")
                .config("spark.sql.shuffle.partitions", "2").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     from attesta.session import configure
