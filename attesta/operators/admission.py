@@ -214,7 +214,7 @@ def apply_budget(df: DataFrame, order: Sequence[str], run: str = "run_id",
     last = ranked.groupBy(run).agg(F.max("_key").alias("_last"))
     admitted = key <= F.col("_last")
     return (df.join(last, run).withColumn("admitted", admitted)
-            .withColumn("error", F.when(~admitted, F.lit(f"page budget ({limit}) reached")))
+            .withColumn("error", F.when(~admitted, F.lit(f"maxPagesPerRun ({limit}) reached")))
             .drop("_last"))
 
 

@@ -108,22 +108,34 @@ def paginate_all(df: DataFrame, order: Sequence[str], size: int = K.PAGE_SIZE) -
     return number_rows(df, order).withColumn("page", F.floor(F.col("row_no") / size))
 
 
+def _given(df: DataFrame, *names: str) -> list[Column]:
+    """Payload fields are always there: null where the frame does not carry them."""
+    return [F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names]
+
+
+def _strings(df: DataFrame, name: str) -> Column:
+    empty = F.array().cast("array<string>")
+    return (F.coalesce(name, empty) if name in df.columns else empty).alias(name)
+
+
 def present_offering(df: DataFrame) -> DataFrame:
     """Payload shape: optional unit struct, arrays never null, decimals as numbers."""
-    unit = F.struct(F.col("unit_ref").alias("ref"), F.col("unit_name").alias("name"),
-                    F.col("unit_type").alias("type"))
+    unit = F.struct(F.col("unit_ref").alias("ref"),
+                    F.element_at(F.split("unit_ref", "/"), -1).alias("slug"),
+                    F.col("unit_name").alias("name"), F.col("unit_type").alias("type"))
     return df.select(
-        "ref", "site", F.col("program_slug").alias("program"), "source_name",
-        F.when(F.col("unit_ref").isNotNull(), unit).alias("unit"),
-        F.coalesce("majors", F.array().cast("array<string>")).alias("majors"),
+        "ref", "site", F.element_at(F.split("ref", "/"), -1).alias("slug"),
+        F.col("program_slug").alias("program"), "source_name", *_given(df, "local_name"),
+        F.when(F.col("unit_ref").isNotNull(), unit).alias("unit"), _strings(df, "majors"),
         F.col("years").cast("double").alias("years"), "status",
+        *_given(df, "curriculum_url", "accreditation"),
         *[c for c in ("provenance",) if c in df.columns])
 
 
 def present_program(df: DataFrame) -> DataFrame:
     return df.select(
-        F.col("slug").alias("ref"), "slug", "name",
-        F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "level",
+        F.col("slug").alias("ref"), "slug", *_given(df, "code"), "name", _strings(df, "aliases"),
+        "level", *_given(df, "discipline", "description"),
         F.col("typical_years").cast("double").alias("typical_years"),
         *[c for c in ("offerings", "provenance") if c in df.columns])
 

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from attesta import constants as K
 
-PROVENANCE = ["source_id", "first_seen_at", "last_verified_at", "confidence", "miss_count"]
+# Fixed value: the arrow in the guard's reasons.
+ARROW = chr(0x2192)
 
 
 def scope(current: DataFrame, parsed_sources: DataFrame, source: str = "source_id") -> DataFrame:
@@ -117,9 +118,8 @@ def guard(counts: DataFrame, mode: str = "incremental") -> DataFrame:
                                         n, low, high, kind))
         .when(zero, F.format_string("parser returned zero %s records where %d existed",
                                     kind, cur))
-        .when(dropped, F.format_string("%s count dropped %d to %d (over 30 percent)",
-                                       kind, cur, n))
-        .when(doubled, F.format_string("%s count doubled %d to %d", kind, cur, n)))
+        .when(dropped, F.format_string(f"%s count dropped %d{ARROW}%d (>30%%)", kind, cur, n))
+        .when(doubled, F.format_string(f"%s count doubled %d{ARROW}%d", kind, cur, n)))
     skipped = (F.when(ranged, F.format_string(
         "expectations [%d,%d] not applied: incremental run", low, high))
         if mode != "full" else F.lit(None).cast("string"))

@@ -138,15 +138,17 @@ def freshness_by_site(spark, sf):
 @query("freshness_report", f"""WITH {ENTITIES_SQL}
 SELECT CASE grouping(site, entity_type) WHEN 3 THEN 'overall' WHEN 1 THEN 'site'
     ELSE 'entity_type' END AS scope, site, entity_type, count(*) AS rows,
-  quantile_cont(staleness_days, 0.5) AS median_staleness_days,
-  quantile_cont(staleness_days, 0.95) AS p95_staleness_days,
+  round(quantile_cont(staleness_days, 0.5), 6) AS median_staleness_days,
+  round(quantile_cont(staleness_days, 0.95), 6) AS p95_staleness_days,
   count(*) FILTER (rank = 2) AS n_high, count(*) FILTER (rank = 1) AS n_medium,
   count(*) FILTER (rank = 0) AS n_low,
   round(coalesce(count(*) FILTER (rank = 2 AND entity_type <> 'scholarship') /
     nullif(count(*) FILTER (entity_type <> 'scholarship'), 0), 0), 6) AS pct_high
 FROM final GROUP BY GROUPING SETS ((), (site), (entity_type))""")
 def freshness_report(spark, sf):
-    return H.freshness_report(scored(spark, sf)).withColumn("pct_high", F.round("pct_high", 6))
+    report = H.freshness_report(scored(spark, sf))
+    shown = ["median_staleness_days", "p95_staleness_days", "pct_high"]
+    return report.withColumns({c: F.round(c, 6) for c in shown})
 
 
 @query("stalest_rows", f"""WITH {ENTITIES_SQL} SELECT site, entity_type, entity_ref, staleness_days,

@@ -329,7 +329,7 @@ def source_report(spark, sf):
 
 @query("page_budget", """WITH r AS (SELECT event_id, user_id, row_number() OVER (
   PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
-SELECT event_id, user_id, n <= 40 AS admitted, CASE WHEN n > 40 THEN 'page budget (40) reached'
+SELECT event_id, user_id, n <= 40 AS admitted, CASE WHEN n > 40 THEN 'maxPagesPerRun (40) reached'
   END AS error FROM r""")
 def page_budget(spark, sf):
     e = scans.load_table(spark, sf, "events").select("event_id", "ts", "user_id")

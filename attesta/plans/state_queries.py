@@ -100,9 +100,9 @@ def _guard_sql(full: bool) -> str:
       WHEN current_count > 0 AND incoming_count = 0 THEN 'parser returned zero ' || entity_type
         || ' records where ' || current_count || ' existed'
       WHEN current_count >= 10 AND incoming_count < current_count * 0.7 THEN entity_type ||
-        ' count dropped ' || current_count || ' to ' || incoming_count || ' (over 30 percent)'
+        ' count dropped ' || current_count || '{R.ARROW}' || incoming_count || ' (>30%)'
       WHEN current_count >= 10 AND incoming_count > current_count * 2 THEN entity_type ||
-        ' count doubled ' || current_count || ' to ' || incoming_count END AS reason,
+        ' count doubled ' || current_count || '{R.ARROW}' || incoming_count END AS reason,
       CAST({skipped} AS VARCHAR) AS skipped FROM counts)"""
 
 

@@ -117,7 +117,7 @@ def test_intervals_and_overdue(spark, rows):
 def test_budget_keeps_the_first_and_marks_the_rest(spark, rows):
     df = frame(spark, [("r1", i) for i in range(7)] + [("r2", 1)], "run_id string, n int")
     got = rows(A.apply_budget(df, ["n"], limit=5).filter("not admitted"), "run_id", "n", "error")
-    assert got == [("r1", 5, "page budget (5) reached"), ("r1", 6, "page budget (5) reached")]
+    assert got == [("r1", 5, "maxPagesPerRun (5) reached"), ("r1", 6, "maxPagesPerRun (5) reached")]
 
 
 def test_fetch_outcomes(spark, rows):

@@ -108,7 +108,7 @@ def test_emptied_parse_is_quarantined_and_changes_nothing(catalogue, spark):
     assert catalogue.verdicts == []
     catalogue.run(batch(5))
     assert [v.reason for v in catalogue.verdicts] == [
-        "program_offering count dropped 12 to 5 (over 30 percent)"]
+        f"program_offering count dropped 12{R.ARROW}5 (>30%)"]
     payload = catalogue.last.quarantine_payload.collect()
     assert len(payload) == 5 and '"slug":"p0"' in payload[0].payload
     assert catalogue.events == []
