@@ -14,7 +14,9 @@ from attesta import constants as K
 from attesta.functions import text as X
 from attesta.session import materialize
 
+# Queries per pass over the vectors, and vectors per matrix product: one product stays small.
 QUERY_BLOCK = 2048
+VECTOR_SLICE = 1024
 
 
 def top_k(scored: DataFrame, k: int, out: str) -> DataFrame:
@@ -92,6 +94,22 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _scores(unit_queries: np.ndarray, vectors: pa.Array) -> np.ndarray:
+    """Cosine of every query with every vector, rounded as ranks are decided on it."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    return np.round(unit_queries @ _unit(flat.reshape(len(vectors), -1)).T, 6)
+
+
+def _keep_best(best, ids: np.ndarray, scores: np.ndarray, k: int):
+    """Best k per query so far: highest score first, ties by id, as in the final ranking."""
+    names = np.broadcast_to(ids, scores.shape)
+    if best is not None:
+        names = np.concatenate([best[0], names], axis=1)
+        scores = np.concatenate([best[1], scores], axis=1)
+    order = np.lexsort((names, -scores), axis=1)[:, :k]
+    return np.take_along_axis(names, order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = K.ARM_DEPTH) -> DataFrame:
     """Exact cosine search: (query_id, chunk_id, score, vec_rank).
 
@@ -112,30 +130,18 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = K.ARM_DEPTH) ->
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             query_ids, unit_queries = block.value
-            names = np.empty(0)
-            scores = np.empty((len(query_ids), 0))
-            best_ids = np.empty((len(query_ids), 0), dtype=object)
+            best: tuple[np.ndarray, np.ndarray] | None = None
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                names = np.asarray(batch.column(0).to_pylist())
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                found = np.round(
-                    unit_queries @ _unit(flat.astype("float64").reshape(len(names), -1)).T, 6)
-                if best_ids.shape[1] == 0:
-                    best_ids = best_ids.astype(names.dtype)
-                scores = np.concatenate([scores, found], axis=1)
-                best_ids = np.concatenate(
-                    [best_ids, np.broadcast_to(names, found.shape)], axis=1)
-                # Best score first, ties by id: the order of the final ranking.
-                order = np.lexsort((best_ids, -scores), axis=1)[:, :k]
-                scores = np.take_along_axis(scores, order, axis=1)
-                best_ids = np.take_along_axis(best_ids, order, axis=1)
-            width = scores.shape[1]
-            if width:
+                for start in range(0, batch.num_rows, VECTOR_SLICE):
+                    piece = batch.slice(start, VECTOR_SLICE)
+                    best = _keep_best(best, np.asarray(piece.column(0).to_pylist()),
+                                      _scores(unit_queries, piece.column(1)), k)
+            if best is not None:
+                ids_found, scores = best
+                repeated = [q for q in query_ids for _ in range(scores.shape[1])]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([q for q in query_ids for _ in range(width)], query_arrow),
-                    pa.array(best_ids.ravel().tolist(), id_arrow), pa.array(scores.ravel())],
+                    pa.array(repeated, query_arrow),
+                    pa.array(ids_found.ravel().tolist(), id_arrow), pa.array(scores.ravel())],
                     names=["query_id", "chunk_id", "score"])
 
         part = usable.mapInArrow(search, schema)
