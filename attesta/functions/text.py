@@ -62,12 +62,15 @@ def name_slug(col: Column) -> Column:
     return F.replace(normalize_name(col), F.lit(" "), F.lit("-"))
 
 
-@F.pandas_udf(T.StringType())
-def normalize_name_exact(names: pd.Series) -> pd.Series:
+def normalize_name_exact(col: Column) -> Column:
     """Full NFKD, for characters that expand to several letters (ligatures, fractions)."""
-    folded = names.str.lower().str.normalize("NFKD")
-    bare = folded.str.replace("[\u0300-\u036f]", "", regex=True)
-    return bare.str.replace("[^a-z0-9]+", " ", regex=True).str.strip()
+    def normalize(names: pd.Series) -> pd.Series:
+        folded = names.str.lower().str.normalize("NFKD")
+        bare = folded.str.replace("[\u0300-\u036f]", "", regex=True)
+        return bare.str.replace("[^a-z0-9]+", " ", regex=True).str.strip()
+
+    # Made on use: a module-level UDF would hold a handle of one session.
+    return F.pandas_udf(normalize, T.StringType())(col)
 
 
 def last_segment(col: Column) -> Column:

@@ -122,7 +122,10 @@ Parser = Callable[[str, str], tuple[dict[str, list[dict]], list[str]]]
 @dataclass(frozen=True)
 class SiteParser:
     """A pure parser `(url, html) -> ({entity_type: [record]}, [warning])` with the site it
-    belongs to and the row counts a full run of it should give."""
+    belongs to and the row counts a full run of it should give.
+
+    The function travels to the executors by value: let it import the names it uses, such as
+    `parse_html`, rather than refer to a module of this package."""
     name: str
     site: str
     parse: Parser

@@ -10,6 +10,7 @@ from attesta.functions import text as X
 from attesta.operators import extract as E
 from attesta.operators import match as M
 from attesta.operators import validate as V
+from attesta.operators.extract import parse_html
 from attesta.plans import bindings as B
 from attesta.plans import site_records as P
 from attesta.plans.registry import query
@@ -66,7 +67,7 @@ def normalize_name(spark, sf):
 
 @query("normalize_name_exact", _NORMAL)
 def normalize_name_exact(spark, sf):
-    normal = X.normalize_name_exact("text")
+    normal = X.normalize_name_exact(F.col("text"))
     return load_table(spark, sf, "conversations").select(
         "conv_id", "turn", normal.alias("normal_name")).withColumn(
         "name_slug", F.replace("normal_name", F.lit(" "), F.lit("-")))
@@ -118,7 +119,7 @@ def first_title(spark, sf):
 
 def article_parser(url, html):
     """Example user parser: an article's heading, and its lead as description."""
-    page = E.parse_html(html)
+    page = parse_html(html)
     article = page.first("article")
     heading = article.first("h1").text() if article and article.first("h1") else ""
     if not heading:
@@ -130,7 +131,7 @@ def article_parser(url, html):
 
 def links_parser(url, html):
     """Example user parser: the navigation of a page."""
-    nav = E.parse_html(html).first("nav")
+    nav = parse_html(html).first("nav")
     items = [a for a in nav.all("a")] if nav else []
     return {"academic_unit": [{"slug": a.attrs.get("href", "").strip("/"), "name": a.text()}
                               for a in items]}, []

@@ -57,7 +57,7 @@ def test_native_forms_agree_with_full_decomposition(spark):
 
     df = spark.createDataFrame([(n,) for n in names], "x string")
     for row in df.select("x", X.slugify(F.col("x")).alias("s"), X.normalize_name(F.col("x"))
-                         .alias("n"), X.normalize_name_exact("x").alias("e")).collect():
+                         .alias("n"), X.normalize_name_exact(F.col("x")).alias("e")).collect():
         assert row.s == slug(row.x)
         assert row.n == row.e
 

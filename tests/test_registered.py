@@ -41,3 +41,13 @@ def test_query_equals_its_twin(spark, name):
     columns = [d[0] for d in cur.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, cur.fetchall())
+
+
+@needs_data
+def test_no_plan_pairs_everything_with_everything(spark):
+    """Neither cross joins nor nested loops in any batch query."""
+    for name, run in entry.queries().items():
+        if name.startswith("stream_"):
+            continue
+        plan = run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan, name
