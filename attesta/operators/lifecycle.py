@@ -79,27 +79,25 @@ def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """Final ref of every alias: (old_ref, final_ref, hops); a cycle has a null final_ref.
 
     Pointer doubling: each round joins the edge table with itself and doubles the distance
-    covered, so a chain of n edges takes log2(n) rounds. Each round is written to the shared
-    folder, which keeps the plan short and survives lost executors.
+    covered, so the longest chain of n edges takes log2(n) rounds. As long as a chain is
+    unfinished, some edge of it finishes in the next round; a round that finishes none leaves
+    only cycles and what leads into them. Each round is written to the shared folder, which
+    keeps the plan short and survives lost executors.
     """
     edges = materialize(aliases.select("old_ref", F.col("new_ref").alias("to"),
                                        F.lit(1).cast("long").alias("hops")), "aliases")
-    total = edges.count()
-    covered = 1
+    unfinished = None
     while True:
         step = edges.select(F.col("old_ref").alias("to"), F.col("to").alias("_next"),
                             F.col("hops").alias("_more"))
-        joined = edges.join(step, "to", "left")
+        joined = edges.drop("_open").join(step, "to", "left")
         edges = materialize(joined.select(
             "old_ref", F.coalesce("_next", "to").alias("to"),
             (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
             F.col("_next").isNotNull().alias("_open")), "aliases")
-        covered *= 2
-        # Past `total` hops an edge that still moves can only be inside or behind a cycle.
-        still_open = edges.filter("_open")
-        if covered > 2 * total or still_open.isEmpty():
+        before, unfinished = unfinished, edges.filter("_open").count()
+        if unfinished in (0, before):
             break
-        edges = edges.drop("_open")
     cyclic = F.col("_open")
     return edges.select("old_ref", F.when(~cyclic, F.col("to")).alias("final_ref"),
                         F.when(~cyclic, F.col("hops")).alias("hops"))

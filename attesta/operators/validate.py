@@ -60,6 +60,14 @@ OFFERING_RULES = [
     slug("unit_slug", True), all_non_empty("majors"), in_range("years", 0, 12, True),
     one_of("status", K.OFFERING_STATUSES),
 ]
+# Domain checks of curated rows, which have rules but are not emitted by parsers.
+PROGRAM_RULES = [
+    slug("slug"), non_empty("name"), one_of("level", K.DEGREE_LEVELS),
+    in_range("typical_years", 0, 12, True),
+]
+SOURCE_RULES = [
+    non_empty("url"), one_of("method", K.INGEST_METHODS), one_of("status", K.SOURCE_STATUSES),
+]
 RECORD_RULES = {"academic_unit": UNIT_RULES, "program_offering": OFFERING_RULES}
 
 

@@ -118,3 +118,11 @@ def test_strict_shape_and_defaults(spark):
 def test_personal_contacts(spark, rows):
     df = spark.createDataFrame([("a@Gmail.com",), ("b@office.edu",)], "email string")
     assert rows(V.personal_contacts(df, ["gmail.com"])) == [("a@Gmail.com",)]
+
+
+def test_domain_checks_of_curated_rows(spark):
+    df = spark.createDataFrame([
+        ("source", "u1", "crawl", "active"), ("source", "u2", "guess", "active"),
+        ("source", "u3", "seed", "dead")], "entity_type string, url string, method string, status string")
+    _, rejects = V.validate(df, {"source": V.SOURCE_RULES})
+    assert {(r.url, r.field) for r in rejects.collect()} == {("u2", "method"), ("u3", "status")}

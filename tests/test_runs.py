@@ -224,6 +224,26 @@ def test_aliases_resolve_through_chains_and_cycles(spark, rows):
     assert all(out[k] == (None, None) for k in ("x", "y", "z", "self"))
 
 
+def test_random_alias_forests_with_cycles(spark):
+    import random
+    for seed in range(4):
+        rng = random.Random(seed)
+        edges = {f"n{i}": f"n{rng.randrange(60)}" for i in range(60) if rng.random() < 0.8}
+
+        def follow(ref):
+            hops, seen = 0, set()
+            while ref in edges:
+                if ref in seen:
+                    return None, None
+                seen.add(ref)
+                ref, hops = edges[ref], hops + 1
+            return ref, hops
+
+        got = L.resolve_aliases(spark.createDataFrame(list(edges.items()), "old_ref string, new_ref string"))
+        assert {r.old_ref: (r.final_ref, r.hops) for r in got.collect()} == {
+            ref: follow(ref) for ref in edges}
+
+
 def test_no_aliases_resolve_to_none(spark):
     assert L.resolve_aliases(spark.createDataFrame([], "old_ref string, new_ref string")).count() == 0
 
