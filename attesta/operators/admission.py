@@ -42,13 +42,16 @@ def match_excluded(df: DataFrame, patterns: DataFrame, url: str = "url") -> Data
     """
     prepared = patterns.select(
         "ord", "pattern", U.wildcard_regex(F.col("pattern"), F.lit(True)).alias("regex"),
+        F.split("pattern", r"\*", 2)[0].alias("start"),
         F.regexp_extract("pattern", r"^https?://([^/*:@?#]+)/", 1).alias("_host"))
 
     def first_hit(candidates: Column) -> Column:
-        hits = F.filter(candidates, lambda p: F.regexp(F.col(url), p["regex"]))
+        # The plain start is compared first; a regular expression is compiled only after that.
+        hits = F.filter(candidates, lambda p: F.startswith(F.col(url), p["start"])
+                        & F.regexp(F.col(url), p["regex"]))
         return F.array_min(F.transform(hits, lambda p: F.struct(p["ord"], p["pattern"])))
 
-    entries = F.sort_array(F.collect_list(F.struct("ord", "regex", "pattern")))
+    entries = F.sort_array(F.collect_list(F.struct("ord", "regex", "pattern", "start")))
     by_host = (prepared.filter(F.col("_host") != "").groupBy("_host")
                .agg(entries.alias("_by_host")))
     anywhere = (prepared.filter(F.col("_host") == "").agg(entries.alias("_any"))
@@ -127,7 +130,9 @@ def robots_decisions(urls: DataFrame, rules: DataFrame, agent: str, url: str = "
     body = F.when(anchored, F.expr("left(path, length(path) - 1)")).otherwise(F.col("path"))
     entry = F.when(F.coalesce(F.col("path"), F.lit("")) != "", F.struct(
         F.length("path").alias("size"), (F.col("kind") == "allow").alias("allow"),
-        F.col("path"), U.wildcard_regex(body, anchored).alias("regex")))
+        F.col("path"), U.wildcard_regex(body, anchored).alias("regex"),
+        F.split(body, r"\*", 2)[0].alias("start"),
+        (~anchored & ~F.contains("path", F.lit("*"))).alias("plain")))
 
     def of(flag: Column, name: str) -> list[Column]:
         return [
@@ -145,7 +150,9 @@ def robots_decisions(urls: DataFrame, rules: DataFrame, agent: str, url: str = "
         .alias("crawl_delay"))
     target = U.path_and_query(F.col(url))
     best = F.array_max(F.transform(
-        F.filter("_rules", lambda r: F.regexp(target, r["regex"])),
+        # Most rules are plain prefixes; a regular expression is compiled only for the others.
+        F.filter("_rules", lambda r: F.startswith(target, r["start"])
+                 & (r["plain"] | F.regexp(target, r["regex"]))),
         lambda r: F.struct(r["size"], r["allow"], r["path"])))
     return (urls.withColumn("host", U.host_of(F.col(url))).join(chosen, "host", "left")
             .withColumn("_best", best)
