@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import (
-    decontaminate, langid, pieces, quality, repeats, secrets, simhash, warc,
+    decontaminate, langid, lm, pieces, quality, repeats, secrets, simhash, warc,
 )
 from attesta.llm.common import crc_mod, table
 from attesta.session import configure, work_path
@@ -32,6 +32,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+@query
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0)
+
+
 @query
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (repeats.remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)

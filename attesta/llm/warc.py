@@ -272,7 +272,9 @@ def read_bundles(spark: SparkSession, root: str, bundles: DataFrame, kind: str =
             if f:
                 f.close()
 
-    return (listed.repartition("bundle", "at")
+    # A frame is a small row and much work: keep as many tasks as the session has partitions.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (listed.repartition(tasks, "bundle", "at")
             .mapInArrow(records, RECORD.format(id=kind)))
 
 
