@@ -65,13 +65,14 @@ def _without(characters: str) -> Column:
     return F.length(F.translate("text", characters, ""))
 
 
-def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_runs."""
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"),
+def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+            keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals, n_runs."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *[F.col(f"`{k}`") for k in keep],
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, WHITE, "") != "")
     counted = rows.select(
-        "doc_id",
+        "doc_id", *keep,
         F.transform(F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"),
                     lambda w: F.xxhash64(w)).alias("hashes"),
         _without(WHITE).cast("long").alias("word_chars"),
@@ -81,9 +82,10 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         .cast("long").alias("n_dup_lines"))
     runs = F.transform(F.array("hashes"), lambda h: F.size(F.filter(
         h, lambda x, i: x.eqNullSafe(F.get(h, i + 1)))))[0]
-    return counted.select("doc_id", F.size("hashes").cast("long").alias("n_words"), "word_chars",
-                          "n_symbols", "n_dup_lines", F.expr(_REPEATS).alias("n_repeat_words"),
-                          "n_capitals", runs.cast("long").alias("n_runs"))
+    return counted.select("doc_id", *keep, F.size("hashes").cast("long").alias("n_words"),
+                          "word_chars", "n_symbols", "n_dup_lines",
+                          F.expr(_REPEATS).alias("n_repeat_words"), "n_capitals",
+                          runs.cast("long").alias("n_runs"))
 
 
 def _stratum() -> Column:
@@ -162,9 +164,9 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-          risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """One row per text: its counts, `base_failed` and `kept`. The text is read once."""
-    measured = materialize(measure(docs, doc_id, text), "quality")
+          risk: float = RISK, error: float = ERROR, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per text: kept columns, its counts, `base_failed` and `kept`. The text is read once."""
+    measured = materialize(measure(docs, doc_id, text, keep), "quality")
     cutoffs = select_cutoffs(measured, labels, risk=risk, error=error)
     by_band = (cutoffs.groupBy("stratum")
                .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts")))

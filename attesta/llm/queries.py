@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import (
-    decontaminate, langid, lm, pieces, quality, repeats, secrets, simhash, warc,
+    chat, decontaminate, langid, lm, pieces, quality, repeats, secrets, simhash, warc,
 )
 from attesta.llm.common import crc_mod, table
 from attesta.session import configure, work_path
@@ -49,6 +49,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "fingerprint", "component_id"))
 
 
+@query
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations")).drop("place")
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"),

@@ -117,6 +117,9 @@ def battery(token: str, symbols: str) -> str:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
          keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, kept columns and per kind an array of (start, end); `candidates` with p-values."""
+    own = {"doc_id", "text", "seen", "candidates", "spans", *KINDS}
+    if clash := {k.lower() for k in keep} & own:
+        raise ValueError(f"kept columns named like results: {sorted(clash)}")
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *[F.col(f"`{k}`") for k in keep],
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     bare = "transform({}, x -> struct(x.start AS start, x.end AS end))"
@@ -159,7 +162,24 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, kept columns, the four arrays of spans, and `spans`: all as (start, kind, end)
     in order of start, then kind (a place in KINDS). The texts are scanned once."""
     found = materialize(scan(docs, doc_id, text, keep).drop("text"), "secrets")
-    cuts = dismissal_steps(found, rate)
+    return _decided(found, dismissal_steps(found, rate))
+
+
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+           rate: float = RATE) -> DataFrame:
+    """The rows of `docs` with every span of their text replaced by a mark. The text is scanned
+    once for the statistics of the battery and once where it is rewritten; it is not shuffled."""
+    cuts = dismissal_steps(materialize(scan(docs, doc_id, text).select("candidates"), "secrets"),
+                           rate)
+    others = tuple(c for c in docs.columns if c not in (doc_id, text))
+    found = _decided(scan(docs, doc_id, text, others), cuts)
+    rewritten = F.when(F.size("spans") > 0, redacted("text", "spans")).otherwise(F.col("text"))
+    columns = {doc_id: F.col("doc_id"), text: rewritten}
+    return found.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def _decided(found: DataFrame, cuts: dict[int, int]) -> DataFrame:
+    """Candidates that are not dismissed become `random` spans; all spans in order."""
     # At most one entry per alphabet and band.
     known = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else None
     stays = (lambda c: c["step"] > F.coalesce(known[c["stratum"]], F.lit(-1))) if cuts else (

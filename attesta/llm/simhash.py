@@ -68,19 +68,21 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                 size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit number."""
+                 size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept columns, fp: the fingerprint of a whole text as a signed 64-bit number."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)],
+            found = np.array([fingerprint(t.as_py(), size) for t in batch.column(len(keep) + 1)],
                              dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)],
-                                             names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)],
+                                             names=["doc_id", *keep, "fp"])
 
-    return map_arrow(docs, [F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`")], work,
-                     f"doc_id {kind}, fp long")
+    columns = [F.col(f"`{doc_id}`").alias("doc_id"), *[F.col(f"`{k}`") for k in keep],
+               F.col(f"`{text}`")]
+    return map_arrow(docs, columns, work, ", ".join([f"doc_id {kind}", *fields, "fp long"]))
 
 
 def hex_of(fp: Column) -> Column:
@@ -132,7 +134,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def classes(found: DataFrame) -> DataFrame:
-    """(fp, component_id, class_size) from (doc_id, fp): the smallest id reachable by links."""
+    """(fp, root, component_id, class_size) from (doc_id, fp): `component_id` is the smallest
+    id reachable by links, `root` the fingerprint that names the class."""
     per_fp = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least"),
                                                  F.count("*").alias("n")), "simhash-fps")
     rooted = components(links(per_fp.select("fp"))).withColumnRenamed("node", "fp")
@@ -140,13 +143,15 @@ def classes(found: DataFrame) -> DataFrame:
         "root", F.coalesce("root", "fp"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"),
                                       F.sum("n").alias("class_size"))
-    return roots.select("fp", "root").join(named, "root").select("fp", "component_id", "class_size")
+    return roots.select("fp", "root").join(named, "root").select("fp", "root", "component_id",
+                                                              "class_size")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                    size: int = SHINGLE) -> DataFrame:
-    """One row per row of `docs`: doc_id, fingerprint in hex, component_id, class_size."""
-    found = materialize(fingerprints(docs, doc_id, text, size), "simhash-docs")
+                    size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, kept columns, fingerprint in hex, component_id,
+    class_size, root (the class)."""
+    found = materialize(fingerprints(docs, doc_id, text, size, keep), "simhash-docs")
     return (found.join(classes(found), "fp", "left")
-            .select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id",
-                    "class_size"))
+            .select("doc_id", *keep, hex_of(F.col("fp")).alias("fingerprint"), "component_id",
+                    "class_size", "root"))
