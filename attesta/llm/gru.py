@@ -14,7 +14,8 @@ import numpy as np
 HIDDEN = 16
 WINDOW = 32
 LANES = 32
-SCORE_LANES = 512
+#: Most and fewest lanes that score side by side.
+SCORE_LANES = (1024, 32)
 RATE = 0.01
 CLIP = 1.0
 
@@ -53,16 +54,25 @@ def lay_out(texts: list[np.ndarray], lanes: int, start: int) -> tuple:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    x = x * 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def log_likelihoods(params: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     """Natural-log probability of every class sequence, state carried through each text."""
     rows, recurrent, out, bias = params
     start = len(rows) - 1
-    lanes = max(1, min(SCORE_LANES, len(texts)))
+    # As many lanes as the longest text leaves full.
+    longest = max(map(len, texts), default=0)
+    full = sum(map(len, texts)) // max(1, longest)
+    lanes = max(1, min(len(texts), max(SCORE_LANES[1], min(SCORE_LANES[0], full))))
     inputs, targets, begins, where = lay_out(texts, lanes, start)
     total = np.zeros((len(inputs) + 1, lanes))
+    # States lie between -1 and 1, so this bounds every logit; exp is safe well below it.
+    safe = float((np.abs(out).sum(axis=0) + np.abs(bias)).max()) < 60
     h = np.zeros((lanes, HIDDEN), dtype=np.float32)
     n2 = 2 * HIDDEN
     for at in range(0, len(inputs), WINDOW):
@@ -79,11 +89,14 @@ def log_likelihoods(params: list[np.ndarray], texts: list[np.ndarray]) -> np.nda
             new = np.tanh(g[:, n2:] + zr[:, HIDDEN:] * a[:, n2:])
             h = new + z * (h - new)
             states[t] = h
-        logits = states.reshape(-1, HIDDEN) @ out + bias
+        logits = states.reshape(-1, HIDDEN) @ out
+        logits += bias
+        if not safe:
+            logits -= logits.max(axis=1, keepdims=True)
         y = targets[at:at + WINDOW].ravel()
         picked = logits[np.arange(len(y)), np.maximum(y, 0)]
-        np.exp(np.clip(logits, -60, 60, out=logits), out=logits)
-        logp = (np.clip(picked, -60, 60) - np.log(logits.sum(axis=1))) * (y >= 0)
+        np.exp(logits, out=logits)
+        logp = (picked - np.log(logits.sum(axis=1))) * (y >= 0)
         total[at + 1:at + 1 + len(x)] = logp.reshape(len(x), lanes)
     np.cumsum(total, axis=0, out=total)
     return np.array([total[at + len(t), lane] - total[at, lane]

@@ -44,8 +44,9 @@ FREQUENT = 200_000
 #: Rounds of training, each over this share of the training texts.
 ROUNDS = 2
 SHARE = 8
-#: Tokens trained or scored together in a task.
-TOGETHER = 1 << 20
+#: Tokens trained together and scored together in a task.
+TRAINED = 1 << 20
+TOGETHER = 1 << 22
 #: Distinct words counted before a task hands them on.
 COUNTED = 250_000
 
@@ -89,7 +90,7 @@ class Vocabulary:
         for k, c, v in totals:
             tokens[k], types[k] = c, v
         for i, (w, c) in enumerate(frequent[:WORDS]):
-            # A word of its own class leaves the class of its ending.
+            # Totals are by ending. A word of its own class leaves the class of its ending.
             tokens[ending_class(w)] -= c
             types[ending_class(w)] -= 1
             tokens[i], types[i] = c, 1
@@ -119,9 +120,18 @@ class Vocabulary:
 
 
 def build_vocabulary(counts: DataFrame, n_texts: int, frequent: int = FREQUENT) -> Vocabulary:
-    """The driver gets `frequent` words at most and one row per class."""
-    top = [(bytes(r["word"]), r["c"])
-           for r in counts.orderBy(F.desc("c"), "word").limit(frequent).collect()]
+    """The driver gets `frequent` words at most, and one row per class and step of counts."""
+    # Counts in steps of an eighth of a power of two: the lowest step down to which all words
+    # together are few enough. So no task sends words that are not wanted.
+    step = F.floor(F.log2("c") * 8)
+    sizes = counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()
+    least, room = math.inf, frequent
+    for s, n in sorted(map(tuple, sizes), reverse=True):
+        if n > room:
+            break
+        least, room = s, room - n
+    top = sorted(((bytes(r["word"]), r["c"]) for r in counts.filter(step >= least).collect()),
+                 key=lambda x: (-x[1], x[0])) if sizes and least < math.inf else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, types = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
@@ -154,7 +164,7 @@ def train(rows: DataFrame, vocabulary, classes: np.ndarray, rounds: int = ROUNDS
                 for value in batch.column(0):
                     texts.append(vocabulary.value.read(value.as_py())[0])
                     size += len(texts[-1])
-                    if size >= TOGETHER:
+                    if size >= TRAINED:
                         trainer.train(texts)
                         texts, size = [], 0
             if texts:
