@@ -74,3 +74,29 @@ def signal_permits(signal: Column) -> Column:
     def says_no(key: str) -> Column:
         return F.coalesce(F.try_element_at(signal, F.lit(key)) == "no", F.lit(False))
     return ~(says_no("ai-input") | (says_no("search") & says_no("use")))
+
+
+def resolve(base: Column, href: Column) -> Column:
+    """A link as an absolute http(s) URL; null for other schemes and for places in the page."""
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.when(F.regexp(page, F.lit(r"^[^/]*//[^/]*$")), F.concat(page, F.lit("/"))).otherwise(
+        F.regexp_replace(page, "[^/]*$", ""))
+    joined = (F.when(F.regexp(href, F.lit(r"(?i)^https?://")), href)
+              .when(F.regexp(href, F.lit(r"(?i)^[a-z][a-z0-9+.-]*:")), F.lit(None))
+              .when(F.regexp(href, F.lit("^(#|$)")), F.lit(None))
+              .when(F.startswith(href, F.lit("//")),
+                    F.concat(F.regexp_extract(base, "^([^:]*:)", 1), href))
+              .when(F.startswith(href, F.lit("/")), F.concat(origin_of(base), href))
+              .when(F.startswith(href, F.lit("?")), F.concat(page, href))
+              .otherwise(F.concat(folder, href)))
+    head = F.regexp_extract(joined, "^[^/]*//[^/?#]*", 0)
+    tail = F.regexp_extract(joined, "^[^/]*//[^/?#]*([^?#]*)", 1)
+    rest = F.regexp_extract(joined, r"([?#].*)$", 1)
+    # A last dot segment names a folder.
+    parts = F.split(F.regexp_replace(tail, r"(/\.\.?)$", "$1/"), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, part: F.when(
+        part == ".", out).when(
+        part == "..", F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out))
+        .otherwise(F.array_append(out, part)))
+    return F.when(F.regexp(tail, F.lit(r"/\.")), F.concat(head, F.array_join(kept, "/"), rest)
+                  ).otherwise(joined)

@@ -13,8 +13,8 @@ from attesta import constants as K
 from attesta.functions.hashing import content_hash
 
 # Separators of the context header.
-_TRAIL = f" {chr(0x203A)} "
-_DOT = f" {chr(0xB7)} "
+_TRAIL = " › "
+_DOT = " · "
 
 
 def markdown_of_html(html: Column) -> Column:

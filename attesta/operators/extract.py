@@ -59,7 +59,18 @@ def first_title(anchors: DataFrame, title: str = "title", page: str = "page_id")
 
 # --- page helper for parsers -------------------------------------------------------------
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
+         "source", "track", "wbr"}
+# Which open elements a start tag ends when their end tag was left out, and where to stop looking.
+_ROWS = {"tr", "td", "th"}
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"},
+         "optgroup": {"option", "optgroup"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": _ROWS,
+         "thead": _ROWS, "tbody": _ROWS | {"thead", "tbody"}, "tfoot": _ROWS | {"thead", "tbody"}}
+_ENDS.update(dict.fromkeys(
+    "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr main menu nav ol p pre section table ul".split(), {"p"}))
+_INSIDE = {"root", "ul", "ol", "menu", "dl", "table", "select", "div", "section", "article", "main",
+           "button", "td", "th", "caption"}
 
 
 @dataclass
@@ -70,16 +81,24 @@ class Element:
     children: list = field(default_factory=list)
 
     def text(self) -> str:
-        parts = [c if isinstance(c, str) else c.text() for c in self.children]
+        parts, waiting = [], list(reversed(self.children))
+        while waiting:
+            child = waiting.pop()
+            if isinstance(child, str):
+                parts.append(child)
+            else:
+                waiting.extend(reversed(child.children))
         return " ".join("".join(parts).split())
 
     def all(self, tag: str | None = None, cls: str | None = None) -> Iterator[Element]:
-        for child in self.children:
+        waiting = list(reversed(self.children))
+        while waiting:
+            child = waiting.pop()
             if isinstance(child, Element):
                 named = tag is None or child.tag == tag
                 if named and (cls is None or cls in child.attrs.get("class", "").split()):
                     yield child
-                yield from child.all(tag, cls)
+                waiting.extend(reversed(child.children))
 
     def first(self, tag: str | None = None, cls: str | None = None) -> Element | None:
         return next(self.all(tag, cls), None)
@@ -92,6 +111,14 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         element = Element(tag, {k: v or "" for k, v in attrs})
+        ended, stop = _ENDS.get(tag, ()), _INSIDE - _ENDS.get(tag, set())
+        for depth in range(len(self.open) - 1, 0, -1):
+            if self.open[depth].tag in stop:
+                break
+            if self.open[depth].tag in ended:
+                del self.open[depth:]
+                if tag not in ("tr", "thead", "tbody", "tfoot"):
+                    break
         self.open[-1].children.append(element)
         if tag not in _VOID:
             self.open.append(element)
@@ -326,11 +353,10 @@ def verbatim_check(records: DataFrame, pages: DataFrame, name: str = "name",
 
 
 def discover_items(index_pages: DataFrame, sources: DataFrame, url: str = "url") -> DataFrame:
-    """Second discovery pass: absolute item URLs on index pages that are not registered yet."""
+    """Second discovery pass: item URLs on index pages, resolved against the page's own, that
+    are not registered yet."""
     anchors = extract_anchors(index_pages).filter(F.col("href").isNotNull())
-    absolute = F.when(F.regexp("href", F.lit(r"(?i)^https?://")), F.col("href")).when(
-        F.startswith(F.col("href"), F.lit("/")),
-        F.concat(U.origin_of(F.col(url)), F.col("href")))
+    absolute = U.resolve(F.col(url), F.trim(F.col("href")))
     found = anchors.select(U.normalize_url(absolute).alias("item_url")).filter(
         F.col("item_url").isNotNull()).distinct()
     known = sources.select(U.normalize_url(F.col("url")).alias("item_url"))

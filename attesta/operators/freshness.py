@@ -16,19 +16,21 @@ def rescored(entities: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
 
     `entities`: entity_type, entity_ref, source_id, confidence, last_verified_at, optionally
     effective_date and is_superseded. `sources`: source_id, method, source_status, optionally
-    unreachable_since.
+    unreachable_since. An entity whose source is not known keeps its confidence.
     """
-    facts = sources.select("source_id", "method", "source_status", *[
+    facts = sources.select("source_id", "method", "source_status", F.lit(True).alias("_known"), *[
         c for c in ("unreachable_since",) if c in sources.columns])
-    joined = entities.join(facts, "source_id")
+    joined = entities.join(facts, "source_id", "left")
     days = C.staleness_days(F.col("last_verified_at"), now)
     since = (C.staleness_days(F.col("unreachable_since"), now)
              if "unreachable_since" in joined.columns else None)
-    return joined.withColumn("new_confidence", C.confidence(
+    new = C.confidence(
         F.col("method"), F.col("entity_type"), days, now=now,
         effective_date=F.col("effective_date") if "effective_date" in joined.columns else None,
         superseded=F.col("is_superseded") if "is_superseded" in joined.columns else None,
-        source_status=F.col("source_status"), unreachable_days=since))
+        source_status=F.col("source_status"), unreachable_days=since)
+    return joined.withColumn("new_confidence", F.when(F.col("_known"), new).otherwise(
+        F.col("confidence"))).drop("_known")
 
 
 def decay(entities: DataFrame, sources: DataFrame, now: Column

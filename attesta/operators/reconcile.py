@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from attesta import constants as K
 
 # Fixed value: the arrow in the guard's reasons.
-ARROW = chr(0x2192)
+ARROW = "→"
 
 
 def scope(current: DataFrame, parsed_sources: DataFrame, source: str = "source_id") -> DataFrame:

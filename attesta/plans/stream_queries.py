@@ -16,7 +16,8 @@ from attesta.streaming import jobs as S
 
 
 def _stream(spark, sf, name):
-    return S.read_stream(spark, sf, TABLES[name], f"{name}.parquet")
+    # A pattern that only this table matches: its path may be one file or a folder of parts.
+    return S.read_stream(spark, f"{sf}/{name}.parque[t]", TABLES[name])
 
 
 def _drain(spark, stream, label):

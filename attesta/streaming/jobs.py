@@ -19,12 +19,8 @@ from attesta.operators.skew import previous_value
 from attesta.sources import store
 
 
-def read_stream(spark: SparkSession, path: str, schema: str, files: str | None = None
-                ) -> DataFrame:
-    reader = spark.readStream.schema(schema)
-    if files:
-        reader = reader.option("pathGlobFilter", files)
-    return reader.parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
