@@ -38,7 +38,7 @@ from attesta.llm.intervals import repeated_starts
 
 #: Most contexts of a group that are read in one piece, and bytes read at a time.
 GROUP = 600
-READ_BYTES = 96 << 10
+READ_BYTES = 24 << 10
 #: Numbers of offsets in a range, level by level.
 RANGES = (SIDE + 1, 26, 6, 1)
 
@@ -84,19 +84,17 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """Anchors of grams found at two places or more: whether their context is (`often`), which
-    place stands for it (`first`), and how many contexts the gram has at most (`size`)."""
+    """Anchors of grams found at two places or more: whether their context is (`often`), and
+    which place stands for it (`first`)."""
     place = F.xxhash64("key", "pos")
     context, gram = Window.partitionBy("g", "c"), Window.partitionBy("g")
     known = (rows.repartition("g").withColumn("place", place)
              .withColumn("lo", F.min("place").over(context))
              .withColumn("hi", F.max("place").over(context)))
     known = (known.withColumn("first", F.col("place") == F.col("lo"))
-             .withColumn("least", F.min("lo").over(gram)).withColumn("most", F.max("hi").over(gram))
-             .withColumn("size", F.sum(F.col("first").cast("int")).over(gram)))
+             .withColumn("least", F.min("lo").over(gram)).withColumn("most", F.max("hi").over(gram)))
     return (known.filter(F.col("least") != F.col("most"))
-            .select("g", "c", "key", "pos", (F.col("lo") != F.col("hi")).alias("often"), "first",
-                    "size"))
+            .select("g", "c", "key", "pos", (F.col("lo") != F.col("hi")).alias("often"), "first"))
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -119,10 +117,11 @@ def _packed(texts: DataFrame) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """One row per gram and context, with its bytes and a place it has."""
-    wanted = (members.filter("first").groupBy("g", "c")
-              .agg(F.min(F.struct("key", "pos")).alias("p"), F.max("often").alias("often"),
-                   F.max("size").alias("size")))
+    """One row per gram and context: its bytes, a place it has, and the gram's number of
+    contexts (`size`)."""
+    wanted = (members.filter("first").repartition("g").groupBy("g", "c")
+              .agg(F.min(F.struct("key", "pos")).alias("p"), F.max("often").alias("often"))
+              .withColumn("size", F.count("*").over(Window.partitionBy("g"))))
     # At most one entry per anchor of the text.
     wanted = (wanted.groupBy(F.col("p.key").alias("key"))
               .agg(F.collect_list(F.struct("g", "c", F.col("p.pos").alias("pos"), "often", "size"))
@@ -241,7 +240,11 @@ def _spans(contexts: DataFrame, level: int = 0) -> DataFrame:
         # A range of one offset is one string: equal ones are one hull.
         return contexts.filter("often").select(
             "g", "c", (-F.col("at")).alias("lo"), (MATCH - F.col("at")).alias("hi"))
-    found = _read(contexts.filter(F.col("size") <= GROUP))
+    # A gram with one context has nothing to compare: it is that context at all its places.
+    whole = contexts.filter("size = 1 AND often").select(
+        "g", "c", (-F.col("at")).alias("lo"),
+        (F.octet_length("data") - F.col("at")).alias("hi")).filter(F.col("hi") - F.col("lo") >= MATCH)
+    found = _read(contexts.filter((F.col("size") > 1) & (F.col("size") <= GROUP))).union(whole)
     large = contexts.filter(F.col("size") > GROUP)
     if large.isEmpty():
         return found
