@@ -28,15 +28,21 @@ def definitions() -> dict[str, tuple[str, str, str]]:
     fold = f"'{X._FOLD_FROM}', '{X._FOLD_TO}'"
     shared = f"size(array_intersect({_grams('a')}, {_grams('b')}))"
     union = f"size(array_union({_grams('a')}, {_grams('b')}))"
+    many = f"from_json(r'{X._MANY_JSON}', 'map<string,string>')"
+
+    def expand(x: str) -> str:
+        return (f"CASE WHEN {x} RLIKE '{X._MANY_CLASS}' THEN array_join(transform(split({x}, ''), "
+                f"c -> coalesce(try_element_at({many}, c), c)), '') ELSE {x} END")
+
     cleaned = f"trim(regexp_replace(x, r'{X._SPACE}', ' '))"
     return {
         "clean": ("x STRING", "STRING", cleaned),
         "slugify": ("x STRING", "STRING",
                     "regexp_replace(regexp_replace(translate(regexp_replace(translate("
-                    f"lower({cleaned}), '{X._PLAIN_FROM}', '{X._PLAIN_TO}'),"
+                    f"{expand(f'lower({cleaned})')}, '{X._PLAIN_FROM}', '{X._PLAIN_TO}'),"
                     rf" r'([^\x00-\x7F])', '$1-'), {fold}), '[^a-z0-9]+', '-'), '^-+|-+$', '')"),
         "normalize_name": ("x STRING", "STRING",
-                           f"trim(regexp_replace(regexp_replace(translate(lower(x), {fold}),"
+                           f"trim(regexp_replace(regexp_replace(translate({expand('lower(x)')}, {fold}),"
                            r" r'[\x{0300}-\x{036F}]', ''), '[^a-z0-9]+', ' '))"),
         "majors_of": ("x STRING", "ARRAY<STRING>",
                       f"filter(array(trim({_TAIL})), m -> m <> '')"),

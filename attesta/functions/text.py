@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,21 +16,30 @@ from pyspark.sql import types as T
 _SPACE = r"(?U)[\s\x{FEFF}&&[^\x85]]+"
 
 
-def _fold_table() -> tuple[str, str]:
-    """Characters whose NFKD form is one ASCII letter or digit plus combining marks."""
-    source, target = [], []
-    for point in range(0x80, 0x10000):
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters whose NFKD form is one ASCII letter or digit plus combining marks, with that
+    letter; and those that expand to more, with their whole NFKD form. Names are in lower case
+    before they fold, and a capital that comes out of the folding is a separator."""
+    source, target, many = [], [], {}
+    for point in range(0x80, 0x30000):  # no character above these planes decomposes
         char = chr(point)
-        if char != char.lower():
+        if not unicodedata.decomposition(char) or char != char.lower():
             continue
-        bare = [c for c in unicodedata.normalize("NFKD", char) if not "\u0300" <= c <= "\u036f"]
-        if len(bare) == 1 and bare[0].isascii() and bare[0].isalnum():
+        full = unicodedata.normalize("NFKD", char)
+        bare = [c for c in full if not "\u0300" <= c <= "\u036f"]
+        if not any(c in _KEPT for c in bare):
+            continue
+        if len(bare) == 1:
             source.append(char)
-            target.append(bare[0].lower())
-    return "".join(source), "".join(target)
+            target.append(bare[0])
+        else:
+            many[char] = full
+    return "".join(source), "".join(target), many
 
 
-_FOLD_FROM, _FOLD_TO = _fold_table()
+_KEPT = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+_FOLD_FROM, _FOLD_TO, _MANY = _fold_tables()
+_MANY_JSON, _MANY_CLASS = json.dumps(_MANY, ensure_ascii=False), "[" + "".join(_MANY) + "]"
 # Characters that fold without leaving a mark behind (full-width forms, superscripts).
 _PLAIN = [(c, t) for c, t in zip(_FOLD_FROM, _FOLD_TO) if len(unicodedata.normalize("NFKD", c)) == 1]
 _PLAIN_FROM, _PLAIN_TO = "".join(c for c, _ in _PLAIN), "".join(t for _, t in _PLAIN)
@@ -39,13 +50,20 @@ def clean(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, _SPACE, " "))
 
 
+def _expand(col: Column) -> Column:
+    """Ligatures, fractions and the like written out; texts without them pass as they are."""
+    many = F.from_json(F.lit(_MANY_JSON), "map<string,string>")
+    letters = F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(many, c), c))
+    return F.when(F.regexp(col, F.lit(_MANY_CLASS)), F.array_join(letters, "")).otherwise(col)
+
+
 def slugify(col: Column) -> Column:
     """Page slug: combining marks become separators; never truncated.
 
     Any other character beyond ASCII turns into a separator anyway, so one is put behind all
     of them before accented letters fold to their base.
     """
-    plain = F.translate(F.lower(clean(col)), _PLAIN_FROM, _PLAIN_TO)
+    plain = F.translate(_expand(F.lower(clean(col))), _PLAIN_FROM, _PLAIN_TO)
     marked = F.regexp_replace(plain, r"([^\x00-\x7F])", "$1-")
     folded = F.translate(marked, _FOLD_FROM, _FOLD_TO)
     return F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -53,7 +71,7 @@ def slugify(col: Column) -> Column:
 
 def normalize_name(col: Column) -> Column:
     """Matching form: lower case, marks stripped, other runs to one space."""
-    folded = F.translate(F.lower(col), _FOLD_FROM, _FOLD_TO)
+    folded = F.translate(_expand(F.lower(col)), _FOLD_FROM, _FOLD_TO)
     bare = F.regexp_replace(folded, r"[\u0300-\u036f]", "")
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
@@ -63,7 +81,7 @@ def name_slug(col: Column) -> Column:
 
 
 def normalize_name_exact(col: Column) -> Column:
-    """Full NFKD, for characters that expand to several letters (ligatures, fractions)."""
+    """The same by Python's own NFKD, to hold the native form against."""
     def normalize(names: pd.Series) -> pd.Series:
         folded = names.str.lower().str.normalize("NFKD")
         bare = folded.str.replace("[\u0300-\u036f]", "", regex=True)
@@ -73,6 +91,55 @@ def normalize_name_exact(col: Column) -> Column:
     return F.pandas_udf(normalize, T.StringType())(col)
 
 
+# A character reference: numbers and names; a name without its semicolon must end there.
+_REFERENCE = (r"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?![A-Za-z0-9=])))")
+_COMMON = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "amp": "&"}
+_RARE = "&(?!(?:" + "|".join(_COMMON) + ");)(?:#|[A-Za-z])"
+
+
+def _references() -> str:
+    """What a reference stands for, by what follows its ampersand. Numbers from 128 to 159 mean
+    the characters that Windows has there."""
+    named = {**html5, "nbsp;": " ", "nbsp": " "}
+    for point in range(128, 160):
+        named[f"#{point}"] = bytes([point]).decode("cp1252", "ignore") or chr(point)
+    return json.dumps(named, ensure_ascii=False)
+
+
+_REFERENCES = _references()
+
+
+def unescape(col: Column) -> Column:
+    """Character references decoded once: all names, decimal and hexadecimal numbers. An
+    unknown name stays as it is; a number that is no character gives the replacement mark."""
+    known = F.from_json(F.lit(_REFERENCES), "map<string,string>")
+
+    def meaning(ref: Column) -> Column:
+        body = F.regexp_replace(ref, "^&|;$", "")
+        point = F.when(F.regexp(body, F.lit("^#[xX]")), F.conv(F.substring(body, 3, 99), 16, 10)
+                       ).otherwise(F.substring(body, 2, 99)).try_cast("long")
+        fine = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        safe = F.when(F.coalesce(fine, F.lit(False)), point).otherwise(0xFFFD)
+        char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+        low = F.try_element_at(known, F.concat(F.lit("#"), safe.cast("string")))
+        return F.when(ref == "", "").when(F.startswith(body, F.lit("#")), F.coalesce(
+            low, char)).otherwise(F.coalesce(F.try_element_at(known, F.substring(ref, 2, 99)), ref))
+
+    def whole(text: Column) -> Column:
+        refs = F.concat(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(text, _REFERENCE), refs,
+                                       lambda part, ref: F.concat(part, meaning(ref))), "")
+
+    def common(text: Column) -> Column:
+        for name, char in _COMMON.items():  # the ampersand last, so nothing is decoded twice
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+        return text
+
+    # The array binds the text to a name: it is worked out once, not once per use.
+    return F.get(F.transform(F.array(col), lambda text: F.when(
+        F.regexp(text, F.lit(_RARE)), whole(text)).otherwise(common(text))), F.lit(0))
+
+
 def last_segment(col: Column) -> Column:
     """Last non-empty path segment of a link, '' when there is none."""
     path = F.split(col, "[?#]", 2)[0]

@@ -70,8 +70,8 @@ _HTML = r"(?is)^\s*(<!doctype|<html)"
 def robots_rules(bodies: DataFrame) -> DataFrame:
     """One row per (host, group, rule) from robots bodies (host, body).
 
-    A body is one row and stays one row until its lines are typed: group numbers come from a
-    running fold inside the row, so no window over hosts is needed. HTML bodies are absent.
+    A body is one row until its lines are typed; groups are numbered within a body, so several
+    bodies of one host keep their groups apart. HTML bodies are absent.
     Columns: host, group_no, agents, rule_no, kind (allow|disallow|null), path, crawl_delay,
     signal.
     """
@@ -89,18 +89,19 @@ def robots_rules(bodies: DataFrame) -> DataFrame:
         f["field"].alias("field"), f["value"].alias("value"),
         ((f["field"] == "user-agent") & ((i == 0) | (
             F.get(known, i - 1)["field"] != "user-agent"))).cast("int").alias("start")))
-    typed = (bodies.filter(~F.regexp("body", F.lit(_HTML)))
-             .select("host", F.posexplode(starts).alias("line_no", "line"))
-             .select("host", "line_no", "line.*"))
-    # Robots bodies are small files; the window stays inside one host's body.
-    in_body = Window.partitionBy("host").orderBy("line_no").rowsBetween(
+    typed = (bodies.select("host", "body").distinct().filter(~F.regexp("body", F.lit(_HTML)))
+             .select("host", F.md5("body").alias("_body"),
+                     F.posexplode(starts).alias("line_no", "line"))
+             .select("host", "_body", "line_no", "line.*"))
+    # Robots bodies are small files; the window stays inside one body.
+    in_body = Window.partitionBy("host", "_body").orderBy("line_no").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     grouped = typed.withColumn("group_no", F.sum("start").over(in_body)).filter("group_no > 0")
     is_agent = F.col("field") == "user-agent"
     is_rule = F.col("field").isin("allow", "disallow") & ~(
         (F.col("field") == "disallow") & (F.col("value") == ""))
     number = F.when(F.regexp("value", F.lit(r"^[0-9.]+$")), F.col("value").try_cast("double"))
-    return grouped.groupBy("host", "group_no").agg(
+    return grouped.groupBy("host", "_body", "group_no").agg(
         F.sort_array(F.collect_set(F.when(is_agent, F.lower("value")))).alias("agents"),
         F.sort_array(F.collect_list(F.when(is_rule, F.struct(
             "line_no", F.col("field").alias("kind"), F.col("value").alias("path"))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attesta import constants as K
 from attesta.functions.hashing import content_hash
+from attesta.functions.text import unescape
 
 # Separators of the context header.
 _TRAIL = " › "
@@ -26,10 +27,7 @@ def markdown_of_html(html: Column) -> Column:
     text = F.regexp_replace(text, r"(?i)\s*</?(h[1-6]|p|div|li|ul|ol|article|section|br)\b[^>]*>\s*",
                             "\n\n")
     text = F.regexp_replace(text, r"(?s)<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                         ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(unescape(text), r"\n{3,}", "\n\n"))
 
 
 def strip(col: Column) -> Column:

@@ -17,24 +17,19 @@ from attesta.functions import urls as U
 _NOISE = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
 
 
-def unescape(col: Column) -> Column:
-    """The common character references, ampersand last."""
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                         ("&#39;", "'"), ("&amp;", "&")):
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
-
-
 def text_of(markup: Column) -> Column:
     """Visible text of a piece of markup, cleaned."""
     bare = F.regexp_replace(F.regexp_replace(markup, _NOISE, " "), r"(?s)<[^>]*>", " ")
-    return X.clean(unescape(bare))
+    return X.clean(X.unescape(bare))
 
 
 def attribute(tag: Column, name: str) -> Column:
     """Attribute of an opening tag, null when absent."""
     value = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*([\"'])(.*?)\1", 2)
-    return F.when(F.regexp(tag, F.lit(rf"(?i)\s{name}\s*=")), unescape(value))
+    bare = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*([^\s\"'>]+)", 1)
+    quoted = F.regexp(tag, F.lit(rf"(?i)\s{name}\s*=\s*[\"']"))
+    return F.when(F.regexp(tag, F.lit(rf"(?i)\s{name}\s*=")),
+                  X.unescape(F.when(quoted, value).otherwise(bare)))
 
 
 def extract_anchors(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -277,24 +272,36 @@ def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
 def extract_nested(pages: DataFrame, prefix: str = "heading", html: str = "html") -> DataFrame:
     """Two-level accordion: items `prefix-group-item` under headers `prefix-group`.
 
-    The header is found by id, not by nesting. An item without header keeps a null group_name
-    and a warning. Ids are unique in a page; the join is on (page, group id).
+    The header is found by id, not by nesting. A name is the first link in the `h5` of its
+    element, else the text of the `h5`, else of the whole element; of elements with one id the
+    last one's name counts. An item without header keeps a null group_name and a warning.
     """
-    blocks = F.regexp_extract_all(
-        html, F.lit(rf"(?is)<(\w+)[^>]*\sid=\"{prefix}-[^\"]+\"[^>]*>.*?</\1\s*>"), F.lit(0))
-    rows = pages.select("page_id", F.posexplode(blocks).alias("pos", "_block"))
-    opening = F.regexp_extract("_block", r"(?s)^<[^>]*>", 0)
-    headers = rows.select("page_id", "pos", F.split(attribute(opening, "id"), "-").alias("_id"),
-                          text_of(F.col("_block")).alias("name"))
-    groups = headers.filter(F.size("_id") == 2).select(
-        "page_id", F.col("_id")[1].alias("group_id"), F.col("name").alias("group_name"))
-    items = headers.filter(F.size("_id") == 3).select(
-        "page_id", "pos", F.col("_id")[1].alias("group_id"), F.col("_id")[2].alias("item_id"),
-        "name")
-    joined = items.join(groups, ["page_id", "group_id"], "left")
-    return joined.withColumn("warning", F.when(
-        F.col("name") == "", "item has no name").when(
-        F.col("group_name").isNull(), "item has no group header"))
+    def name_of(element: Element) -> str:
+        title = element.first("h5")
+        return ((title.first("a") or title) if title else element).text()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page_id, page in batch.itertuples(index=False):
+                names = {}
+                for element in parse_html(page).all():
+                    if element.attrs.get("id", "").startswith(f"{prefix}-"):
+                        names[element.attrs["id"]] = name_of(element)
+                for pos, (key, name) in enumerate(names.items()):
+                    parts = key[len(prefix) + 1:].split("-")
+                    if len(parts) == 2:
+                        group = names.get(f"{prefix}-{parts[0]}")
+                        warning = ("item has no name" if not name else
+                                   "item has no group header" if group is None else None)
+                        rows.append((page_id, parts[0], pos, parts[1], name, group, warning))
+            yield pd.DataFrame(rows, columns=["page_id", "group_id", "pos", "item_id", "name",
+                                              "group_name", "warning"]).astype({"pos": "int32"})
+
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", html).mapInPandas(
+        run, f"page_id {id_type}, group_id string, pos int, item_id string, name string, "
+             "group_name string, warning string")
 
 
 # --- record rules ------------------------------------------------------------------------

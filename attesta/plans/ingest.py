@@ -41,7 +41,8 @@ def plan(incoming: DataFrame, table: DataFrame, parsed_sources: DataFrame,
          expectations: DataFrame, *, entity_type: str, run_id: str, now: Column,
          fields: Sequence[str], keys: Sequence[str] = ("site", "slug"),
          mode: str = "incremental", order: Sequence[str] = ("pos",),
-         arrays: Sequence[str] = (), name: str | None = None, settle: bool = False) -> RunPlan:
+         arrays: Sequence[str] = (), name: str | None = None, settle: bool = False,
+         partial: bool = False) -> RunPlan:
     """Plan one entity type of a run over any number of owners at once.
 
     `incoming`: validated records with owner, keys, fields, source_id, status and `order`.
@@ -51,7 +52,12 @@ def plan(incoming: DataFrame, table: DataFrame, parsed_sources: DataFrame,
     The plan is lazy. With `settle`, the frames that several outputs share (merged batch,
     verdicts, moves, classified rows) are written once to the shared folder: state, events and
     logs are then narrow scans, and the guard and the full-outer join run once per run.
+
+    A `partial` batch is a piece of a run, such as a micro-batch. What it lacks may come with the
+    next piece, so its counts say nothing: no owner is held back and no row ages.
     """
+    if partial and name is not None:
+        raise ValueError("renames need a whole run")
     keys = list(keys)
 
     def shared(df: DataFrame, label: str) -> DataFrame:
@@ -63,7 +69,11 @@ def plan(incoming: DataFrame, table: DataFrame, parsed_sources: DataFrame,
     counts = R.guard_inputs(merged.withColumn("entity_type", typed),
                             incoming.select("owner", typed.alias("entity_type")),
                             in_scope.withColumn("entity_type", typed), expectations)
-    verdicts = shared(R.guard(counts, mode), "verdicts")
+    judged = R.guard(counts, mode)
+    if partial:
+        judged = judged.withColumns({"reason": F.lit(None).cast("string"),
+                                     "action": F.lit("publish")})
+    verdicts = shared(judged, "verdicts")
     held = verdicts.filter(F.col("action") == "quarantine").select("owner").distinct()
     passed = merged.join(held, "owner", "left_anti")
     batches, payload = R.quarantine_rows(verdicts, merged.withColumn("entity_type", typed),
@@ -78,7 +88,10 @@ def plan(incoming: DataFrame, table: DataFrame, parsed_sources: DataFrame,
                                  order), "moves")
         aliases, move_events = L.aliases_of(moves), L.move_events(moves, run_id, now)
         current = L.apply_renames(table, moves, keys[-1])
-    classified = shared(R.reconcile(passed, current, keys, fields, examined), "classified")
+    sorted_out = R.reconcile(passed, current, keys, fields, examined)
+    if partial:
+        sorted_out = sorted_out.replace("missing", "untouched", "class")
+    classified = shared(sorted_out, "classified")
     level = confidence(F.lit("crawl"), typed, F.lit(0))
     next_state = R.publish(classified, current, level, now)
     events = R.change_events(classified, F.concat_ws("/", *keys), typed, run_id, now)

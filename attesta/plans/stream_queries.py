@@ -72,13 +72,14 @@ def stream_upsert(spark, sf):
             [], "owner string, entity_type string, min_rows int, max_rows int")
         return ingest.plan(coming, table, coming.select("source_id").distinct(), none,
                            entity_type="document", run_id=run_id, now=B.now(), fields=FIELDS,
-                           settle=True)
+                           settle=True, partial=True)
 
     def empty(session):
         return B.published(session, sf).drop("entity_type", "entity_ref").limit(0)
 
     root = work_path(spark, "upsert")
-    S.each_batch(stream, S.upsert_step(root, "entities", plan_batch, empty),
+    S.each_batch(stream, S.upsert_step(root, "entities", plan_batch, empty,
+                                       newest=("source_id", "pos")),
                  f"{root}/checkpoint").awaitTermination()
     return store.read_version(spark, f"{root}/entities").select("slug", "status", "band",
                                                                 "miss_count")

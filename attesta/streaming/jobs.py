@@ -19,8 +19,12 @@ from attesta.operators.skew import previous_value
 from attesta.sources import store
 
 
-def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None
+                ) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -45,30 +49,38 @@ def content_gate_step(state_path: str, out_path: str, chunk: Column, order: str
     by `chunk` ranges of the order so that no source needs one task; the first of a source
     meets the stored state, one row per source. A replayed batch writes
     the same rows again under its own batch number, so nothing is doubled.
+
+    The state holds the newest delivery with its place. A delivery older than that passes
+    unless its body is the newest one's; it never replaces the state.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = store.read_version(spark, state_path, below=batch_id + 1)
         if before is None:
-            before = spark.createDataFrame([], "source_id string, last_hash string")
+            before = batch.select("source_id", F.struct(
+                F.col(order).alias("at"), "snapshot_id", "content_hash").alias("last")).limit(0)
+        known = before.select("source_id", F.col("last.content_hash").alias("last_hash"))
         seen = previous_value(batch, ["source_id"], [order, "snapshot_id"], chunk,
-                              "content_hash", "_before").join(before, "source_id", "left")
+                              "content_hash", "_before").join(known, "source_id", "left")
         passed = seen.filter(~F.col("content_hash").eqNullSafe(
             F.coalesce("_before", "last_hash"))).drop("_before", "last_hash")
         passed.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        latest = batch.groupBy("source_id").agg(F.max(F.struct(
-            F.col(order).alias("at"), "snapshot_id", "content_hash")).alias("_t")).select(
-            "source_id", F.col("_t.content_hash").alias("fresh"))
-        after = before.join(latest, "source_id", "full_outer").select(
-            "source_id", F.coalesce("fresh", "last_hash").alias("last_hash"))
+        fresh = batch.select("source_id", F.struct(
+            F.col(order).alias("at"), "snapshot_id", "content_hash").alias("last"))
+        after = before.unionByName(fresh).groupBy("source_id").agg(F.max("last").alias("last"))
         store.write_version(after, state_path, version=batch_id + 1)
     return step
 
 
 def upsert_step(root: str, table: str,
                 plan_batch: Callable[[DataFrame, DataFrame, str], object],
-                empty: Callable[[SparkSession], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Run a whole publish plan per batch: validated records in, next table version out.
+                empty: Callable[[SparkSession], DataFrame],
+                newest: tuple[str, str] | None = None) -> Callable[[DataFrame, int], None]:
+    """Run a publish plan per batch: validated records in, next table version out.
+
+    With `newest`, a key and a place of the records, a record counts only if its place lies
+    behind the last one that came with its key. With a plan for `partial` batches the table
+    then does not depend on how the records are cut into batches or in which order they come.
 
     Version and run id follow the batch number, so a replayed batch starts from the state
     before it: rows are not aged twice and events are not doubled.
@@ -78,6 +90,15 @@ def upsert_step(root: str, table: str,
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         current = store.read_version(spark, f"{root}/{table}", below=batch_id + 1)
+        if newest:
+            key, place = newest
+            places = batch.groupBy(key).agg(F.max(place).alias("_last"))
+            before = store.read_version(spark, f"{root}/{table}_places", below=batch_id + 1)
+            if before is not None:
+                batch = batch.join(before, key, "left").filter(F.coalesce(
+                    F.col(place) > F.col("_last"), F.col("_last").isNull())).drop("_last")
+                places = places.unionByName(before).groupBy(key).agg(F.max("_last").alias("_last"))
+            store.write_version(places, f"{root}/{table}_places", version=batch_id + 1)
         run = plan_batch(batch, empty(spark) if current is None else current, f"batch-{batch_id}")
         commit(run, root, table, version=batch_id + 1)
     return step
