@@ -31,8 +31,10 @@ def definitions() -> dict[str, tuple[str, str, str]]:
     many = f"from_json(r'{X._MANY_JSON}', 'map<string,string>')"
 
     def expand(x: str) -> str:
-        return (f"CASE WHEN {x} RLIKE '{X._MANY_CLASS}' THEN array_join(transform(split({x}, ''), "
-                f"c -> coalesce(try_element_at({many}, c), c)), '') ELSE {x} END")
+        one = f"'{X._MANY_CLASS}'"
+        return (f"CASE WHEN {x} RLIKE {one} THEN array_join(zip_with(split({x}, {one}), concat("
+                f"regexp_extract_all({x}, {one}, 0), array('')), (part, c) -> concat(part, "
+                f"coalesce(try_element_at({many}, c), c))), '') ELSE {x} END")
 
     cleaned = f"trim(regexp_replace(x, r'{X._SPACE}', ' '))"
     return {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from html.entities import html5
 
 import pandas as pd
@@ -39,7 +40,22 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 
 _KEPT = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _FOLD_FROM, _FOLD_TO, _MANY = _fold_tables()
-_MANY_JSON, _MANY_CLASS = json.dumps(_MANY, ensure_ascii=False), "[" + "".join(_MANY) + "]"
+_MANY_JSON = json.dumps(_MANY, ensure_ascii=False)
+
+
+def _class_of(chars: str) -> str:
+    """A pattern for one of the characters, neighbours as ranges: fewer tests per character."""
+    ranges = []
+    for point in sorted(map(ord, chars)):
+        if ranges and point == ranges[-1][1] + 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+
+
+_MANY_CLASS = _class_of("".join(_MANY))
+_BEYOND_ASCII = r"[^\x00-\x7F]"
 # Characters that fold without leaving a mark behind (full-width forms, superscripts).
 _PLAIN = [(c, t) for c, t in zip(_FOLD_FROM, _FOLD_TO) if len(unicodedata.normalize("NFKD", c)) == 1]
 _PLAIN_FROM, _PLAIN_TO = "".join(c for c, _ in _PLAIN), "".join(t for _, t in _PLAIN)
@@ -50,11 +66,23 @@ def clean(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, _SPACE, " "))
 
 
+def _once(col: Column, work: Callable[[Column], Column]) -> Column:
+    """`work` over the value under a name: it is worked out once, not once per use."""
+    return F.get(F.transform(F.array(col), work), F.lit(0))
+
+
 def _expand(col: Column) -> Column:
     """Ligatures, fractions and the like written out; texts without them pass as they are."""
+    return _once(col, _written_out)
+
+
+def _written_out(text: Column) -> Column:
     many = F.from_json(F.lit(_MANY_JSON), "map<string,string>")
-    letters = F.transform(F.split(col, ""), lambda c: F.coalesce(F.try_element_at(many, c), c))
-    return F.when(F.regexp(col, F.lit(_MANY_CLASS)), F.array_join(letters, "")).otherwise(col)
+    found = F.concat(F.regexp_extract_all(text, F.lit(_MANY_CLASS), F.lit(0)), F.array(F.lit("")))
+    parts = F.zip_with(F.split(text, _MANY_CLASS), found, lambda part, c: F.concat(
+        part, F.coalesce(F.try_element_at(many, c), c)))
+    foreign = F.regexp(text, F.lit(_BEYOND_ASCII)) & F.regexp(text, F.lit(_MANY_CLASS))
+    return F.when(foreign, F.array_join(parts, "")).otherwise(text)
 
 
 def slugify(col: Column) -> Column:
@@ -135,9 +163,8 @@ def unescape(col: Column) -> Column:
             text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
         return text
 
-    # The array binds the text to a name: it is worked out once, not once per use.
-    return F.get(F.transform(F.array(col), lambda text: F.when(
-        F.regexp(text, F.lit(_RARE)), whole(text)).otherwise(common(text))), F.lit(0))
+    return _once(col, lambda text: F.when(F.regexp(text, F.lit(_RARE)), whole(text)).otherwise(
+        common(text)))
 
 
 def last_segment(col: Column) -> Column:

@@ -37,11 +37,16 @@ def extract_anchors(pages: DataFrame, html: str = "html") -> DataFrame:
     found = F.regexp_extract_all(F.regexp_replace(html, _NOISE, " "),
                                  F.lit(r"(?is)<a\s[^>]*>.*?</a\s*>"), F.lit(0))
     kept = [c for c in pages.columns if c != html]
-    rows = pages.select(*kept, F.posexplode(found).alias("pos", "_a"))
-    opening = F.regexp_extract("_a", r"(?s)^<[^>]*>", 0)
-    return rows.select(*kept, "pos", attribute(opening, "href").alias("href"),
-                       X.clean(F.coalesce(attribute(opening, "title"), F.lit(""))).alias("title"),
-                       text_of(F.col("_a")).alias("text")).withColumn(
+
+    def parts(anchor: Column) -> Column:
+        opening = F.regexp_extract(anchor, r"(?s)^<[^>]*>", 0)
+        title = X.clean(F.coalesce(attribute(opening, "title"), F.lit("")))
+        return F.struct(attribute(opening, "href").alias("href"), title.alias("title"),
+                        text_of(anchor).alias("text"))
+
+    # The generator settles the parts: filters and later steps do not work them out again.
+    rows = pages.select(*kept, F.posexplode(F.transform(found, parts)).alias("pos", "_a"))
+    return rows.select(*kept, "pos", "_a.*").withColumn(
         "slug", X.last_segment(F.coalesce("href", F.lit(""))))
 
 

@@ -32,8 +32,10 @@ def match_exact(names: DataFrame, registry: DataFrame, name: str = "name") -> Da
 
 def match_normalized(names: DataFrame, registry: DataFrame, name: str = "name") -> DataFrame:
     known = candidates(registry, X.normalize_name).withColumnRenamed("slug", "match_slug")
-    return names.join(known, X.normalize_name(F.col(name)) == F.col("candidate"),
-                      "left").drop("candidate")
+    # The generator settles the form, so that the join's filters do not repeat the expression.
+    formed = names.select("*", F.explode(F.array(X.normalize_name(F.col(name)))).alias("_form"))
+    return formed.join(known, F.col("_form") == F.col("candidate"), "left").drop(
+        "_form", "candidate")
 
 
 def _identified(texts: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """From page shapes to catalogue records, set by set.
 
 Each function takes pages (page_id, url, html) of one shape, from any number of sites, and
-returns (records, warnings). Records have the shape the validators expect; warnings are
+returns (records, warnings); where several outputs share parsed pages, these are parsed and
+written once while the frames are built. Records have the shape the validators expect; warnings are
 (page_id, warning) rows. Nothing is guessed: what a page does not state stays null.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as X
 from attesta.operators import extract as E
+from attesta.session import materialize
 
 # Where the known page shapes keep their records.
 COLLEGE_CARDS = E.CardSpec(card=("article", "acad-college-card"),
@@ -59,7 +61,8 @@ def _offerings(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def offerings_from_accordion(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two-level accordions; the page's last path segment is the owning unit."""
-    items = E.extract_nested(pages).withColumn("slug", X.slugify(F.col("name")))
+    items = materialize(E.extract_nested(pages).withColumn("slug", X.slugify(F.col("name"))),
+                        "accordion")
     owners = pages.select("page_id", X.last_segment(F.col("url")).alias("unit_slug"))
     placed = items.join(owners, "page_id").withColumn("years", F.lit(None).cast("decimal(3,1)"))
     records, warnings = _offerings(placed.select("page_id", "pos", "name", "slug", "unit_slug",
@@ -71,7 +74,7 @@ def offerings_from_accordion(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def offerings_from_linked_cards(pages: DataFrame, spec: E.CardSpec = DEGREE_CARDS
                                 ) -> tuple[DataFrame, DataFrame]:
     """Cards whose own link names unit and slug; years come from the badge."""
-    cards = E.extract_cards(pages, spec)
+    cards = materialize(E.extract_cards(pages, spec), "cards")
     unlinked = ~F.regexp(F.coalesce("link", F.lit("")), F.lit(DEGREE_LINK))
     named = F.col("title") != ""
     items = cards.filter(~unlinked | ~named).select(
@@ -89,9 +92,9 @@ def offerings_from_columns(pages: DataFrame, known_units: Sequence[str],
     """Cards whose class list names the owning unit; a card without one keeps a null unit."""
     cards = E.owner_from_tokens(E.extract_cards(pages, spec), known_units,
                                 F.split("classes", r"\s+"))
-    items = cards.select("page_id", "pos", F.col("title").alias("name"),
-                         X.slugify(F.col("title")).alias("slug"), "unit_slug",
-                         F.lit(None).cast("decimal(3,1)").alias("years"))
+    items = materialize(cards.select(
+        "page_id", "pos", F.col("title").alias("name"), X.slugify(F.col("title")).alias("slug"),
+        "unit_slug", F.lit(None).cast("decimal(3,1)").alias("years")), "cards")
     records, warnings = _offerings(items)
     ownerless = F.when((F.col("name") != "") & F.col("unit_slug").isNull(), F.concat(
         F.lit('"'), "name", F.lit('" names no unit')))
