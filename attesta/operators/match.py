@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta import constants as K
 from attesta.functions import text as X
+from attesta.session import materialize
 
 
 def candidates(registry: DataFrame, form=lambda c: c) -> DataFrame:
@@ -113,12 +114,13 @@ def resolve_names(names: DataFrame, registry: DataFrame, name: str = "name",
 
     The chain runs over distinct names only, each step over what the one before left over, and
     never invents a registry row. A name carried by many rows meets its single resolution in
-    one join, whose hot side adaptive execution can split.
+    one join, whose hot side adaptive execution can split. The forms are written once, while the
+    frame is built: the rest of the chain reads them several times.
     """
     distinct = names.select(name).filter(F.col(name).isNotNull()).distinct()
-    by_form = match_normalized(
+    by_form = materialize(match_normalized(
         match_exact(distinct, registry, name).withColumnRenamed("match_slug", "_exact"),
-        registry, name).withColumnRenamed("match_slug", "_normal")
+        registry, name).withColumnRenamed("match_slug", "_normal"), "names-by-form")
     residue = by_form.filter(F.col("_exact").isNull() & F.col("_normal").isNull())
     fuzzy = match_trigram(residue, registry, threshold, name).withColumnRenamed(
         "match_slug", "_fuzzy")
