@@ -6,8 +6,9 @@ smoothing as the base model. The most frequent words are classes of their own, o
 are classed by their last two bytes, and the end of a text is a class.
 
 Counts cover every training text. The recurrent weights are learnt where the texts are: each
-task trains on its share of a fixed part of the training texts, and the weights of all tasks
-are averaged by tokens, for a few rounds. Only weights reach the driver.
+task trains on its texts, and the weights of all tasks are averaged by tokens. The training
+texts are dealt out to a few rounds, and every one is trained on in one of them. Only weights
+reach the driver.
 
 The most frequent words (a fixed number) travel to the tasks with their counts. For all other
 words each text meets their counts in one join, so no vocabulary is held in memory.
@@ -41,9 +42,8 @@ CLASSES = WORDS + ENDINGS + 1
 END = CLASSES - 1
 #: Words whose counts travel to the tasks.
 FREQUENT = 200_000
-#: Rounds of training, each over this share of the training texts.
+#: Rounds of training, each over another part of the training texts; all parts are used.
 ROUNDS = 2
-SHARE = 8
 #: Tokens trained together and scored together in a task.
 TRAINED = 1 << 20
 TOGETHER = 1 << 22
@@ -149,9 +149,9 @@ def build_vocabulary(counts: DataFrame, n_texts: int, frequent: int = FREQUENT)
     return Vocabulary(top, [tuple(r) for r in totals], n_texts)
 
 
-def train(rows: DataFrame, vocabulary, classes: np.ndarray, rounds: int = ROUNDS,
-          share: int = SHARE) -> list[np.ndarray]:
-    """Weights averaged over all tasks, round by round, each over another share of the texts."""
+def train(rows: DataFrame, vocabulary, classes: np.ndarray,
+          rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights averaged over all tasks, round by round. Each text is in one round's part."""
     spark = rows.sparkSession
     params = gru.init(CLASSES, classes)
     shapes = [p.shape for p in params]
@@ -176,7 +176,7 @@ def train(rows: DataFrame, vocabulary, classes: np.ndarray, rounds: int = ROUNDS
                      pa.array(np.full(len(flat), trainer.tokens, dtype=np.int64))],
                     names=["i", "x", "n"])
 
-        part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == r).select("text")
+        part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text")
         # As many rows as there are weights, whatever the input.
         mean = (part.mapInArrow(work, "i long, x double, n long").groupBy("i")
                 .agg((F.sum("x") / F.sum("n")).alias("x")).collect())

@@ -264,6 +264,15 @@ def test_language_model(spark, monkeypatch):
     assert lm.score(frame.limit(0), held).count() == 0
 
 
+def test_every_training_text_moves_the_weights(spark):
+    classes = np.ones(lm.CLASSES)
+    vocabulary = spark.sparkContext.broadcast(lm.Vocabulary([], [], 0))
+    for i in range(8):
+        one = docs_of(spark, [f"text number{i} of eight"])
+        moved = lm.train(one, vocabulary, classes)
+        assert any((a != b).any() for a, b in zip(moved, gru.init(lm.CLASSES, classes))), i
+
+
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(9)
 
