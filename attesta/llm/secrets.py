@@ -171,11 +171,17 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     once for the statistics of the battery and once where it is rewritten; it is not shuffled."""
     cuts = dismissal_steps(materialize(scan(docs, doc_id, text).select("candidates"), "secrets"),
                            rate)
-    others = tuple(c for c in docs.columns if c not in (doc_id, text))
-    found = _decided(scan(docs, doc_id, text, others), cuts)
+    # The other columns travel in one, so that their names cannot meet those of results.
+    row = "carried"
+    others = [c for c in docs.columns if c not in (doc_id, text)]
+    packed = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"),
+                         F.struct(F.lit(0).alias("at"), *[
+                             F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias(row))
+    found = _decided(scan(packed, keep=(row,)), cuts)
     rewritten = F.when(F.size("spans") > 0, redacted("text", "spans")).otherwise(F.col("text"))
-    columns = {doc_id: F.col("doc_id"), text: rewritten}
-    return found.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    columns = {doc_id: F.col("doc_id"), text: rewritten,
+               **{c: F.col(f"{row}.c{i}") for i, c in enumerate(others)}}
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def _decided(found: DataFrame, cuts: dict[int, int]) -> DataFrame:

@@ -256,3 +256,14 @@ def test_wand_equals_scoring_everything():
                 scores[p] += x
         got = dict(index.search(terms, 0.5))
         assert got == pytest.approx({p: x for p, x in scores.items() if x >= 0.5})
+
+
+def test_redaction_with_columns_named_like_results(spark):
+    names = ("spans", "hex", "random", "Assign", "access", "seen", "candidates", "carried", "a.b")
+    kinds = ", ".join(f"`{n}` string" for n in names)
+    rows = [(1, "see password=hunter2hunter2 here", *names), (2, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {kinds}")
+    red = secrets.redact(docs)
+    assert red.columns == docs.columns
+    assert sorted(map(tuple, red.collect())) == [
+        (1, "see [secret] here", *names), (2, "", *[None] * len(names))]
