@@ -2,13 +2,16 @@ r"""Quality rules with risk-controlled cutoffs, in DataFrame functions alone.
 
 Counts are taken from the whole text inside its row: no word leaves its row, so nothing is
 shuffled but labels and small tables. Each rule is a ratio with a fixed list of cutoffs from
-lenient to strict. Labelled good texts of a stratum (a band of lengths) are the holdout: a
-cutoff holds if, were it to reject more than its share of good texts, so few rejections as
-were seen would have had a binomial probability below the corrected error level. Cutoffs of
-a rule are tried in order and the first that fails ends the trial, so a rule counts as one
-test; strata and rules share the error level by Bonferroni, and the rules of a stratum share
-the permitted false rejection. Among the cutoffs that hold, the one that separates the labels
-best is used, the most lenient of equals. A stratum with too few good labels rejects nothing.
+lenient to strict. The rules of a stratum (a band of lengths) go down one fixed path together:
+all begin switched off, and each step gives one rule its next cutoff, in turn (`PATH`). A step
+is the rejection of whatever breaks any cutoff given so far, so each step rejects all that the
+one before did. Labelled good texts of the stratum are the holdout: a step holds if, were it to
+reject more than its share of good texts, so few rejections as were seen would have had a
+binomial probability below the corrected error level. Steps are tried in order and the first
+that fails ends the trial, so the path counts as one test of all rules together; strata share
+the error level by Bonferroni. Among the steps that hold, the one that separates the labels
+best is used, the most lenient of equals. A stratum with too few good labels rejects nothing:
+at the given risk and error the first step needs 408 good texts, none of them rejected.
 
 Defined results: a null or word-free text has zero counts and fails the base rule; repeated
 rows are judged alike; labels that are null, or contradict each other for an id, are not used;
@@ -30,7 +33,7 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
 MIN_WORDS = 20
 #: Largest share of good texts of a stratum that all rules together may reject, and the
-#: probability that any stratum breaks it.
+#: probability that any stratum breaks it. Neither is divided among the rules.
 RISK = 0.01
 ERROR = 0.05
 #: Lower bounds, in words, of the strata.
@@ -45,6 +48,10 @@ RULES = {
     "runs": ("n_runs / n_words", (0.5, 0.3, 0.2, 0.1, 0.05)),
 }
 
+#: The path: (rule, place of its cutoff), all first cutoffs, then all second ones, and so on.
+PATH = tuple((name, j) for j in range(max(len(cuts) for _, cuts in RULES.values()))
+             for name, (_, cuts) in RULES.items() if j < len(cuts))
+
 # `transform(array(x), v -> f(v))[0]` evaluates x once and names it for f.
 _REPEATS = f"""
 CASE WHEN size(hashes) < {WINDOW} + 1 THEN 0L ELSE
@@ -127,40 +134,39 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id
     known = (labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{quality}`").alias("q"))
              .filter("doc_id IS NOT NULL AND q IS NOT NULL").groupBy("doc_id")
              .agg(F.min("q").alias("q"), F.max("q").alias("most")).filter("q = most").drop("most"))
-    levels = F.array(*[
-        F.struct(F.lit(name).alias("rule"),
-                 F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in cuts)}), "
-                        f"c -> {ratio} > c))").alias("level"))
-        for name, (ratio, cuts) in RULES.items()])
-    held = (measured.filter(~_base_failed()).join(known, "doc_id")
-            .select(_stratum().alias("stratum"), "q", F.explode(levels).alias("x")))
-    counts = (held.groupBy("stratum", "x.rule", "x.level")
+    # The first step of the path that rejects a text, or the length of the path.
+    firsts = [F.when(F.expr(f"{RULES[name][0]} > {RULES[name][1][j]!r}D"), t)
+              for t, (name, j) in enumerate(PATH)]
+    counts = (measured.filter(~_base_failed()).join(known, "doc_id")
+              .select(_stratum().alias("stratum"), "q",
+                      F.coalesce(*firsts, F.lit(len(PATH))).alias("first"))
+              .groupBy("stratum", "first")
               .agg(F.sum(F.when(F.col("q") > 0, 1).otherwise(0)).alias("good"),
                    F.sum(F.when(F.col("q") > 0, 0).otherwise(1)).alias("bad")))
-    grid = F.map_from_arrays(
-        F.array(*[F.lit(name) for name in RULES]),
-        F.array(*[F.array(*[F.struct(F.lit(j).alias("step"), F.lit(c).alias("cutoff"),
-                                     F.lit(len(cuts) - j).alias("needs"))
-                            for j, c in enumerate(cuts)]) for _, cuts in RULES.values()]))
-    rejected = lambda side: F.sum(F.when(F.col("level") >= F.col("g.needs"), F.col(side))
+    rejected = lambda side: F.sum(F.when(F.col("first") <= F.col("step"), F.col(side))
                                   .otherwise(0))
-    tried = (counts.select("*", F.explode(grid[F.col("rule")]).alias("g"))
-             .groupBy("stratum", "rule", "g.step", "g.cutoff")
+    tried = (counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(PATH) - 1))).alias("step"))
+             .groupBy("stratum", "step")
              .agg(rejected("good").alias("k"), rejected("bad").alias("caught"),
                   F.sum("good").alias("n")))
-    level = error / (len(RULES) * len(BANDS))
-    tested = tried.withColumn("holds", F.expr(binomial_cdf("k", "n", risk / len(RULES))) <= level)
-    # Small from here on: at most one row per stratum, rule and cutoff.
-    steps = F.sort_array(F.collect_list(F.struct("step", "holds", "cutoff", "k", "caught")))
-    return (tested.groupBy("stratum", "rule").agg(steps.alias("steps"))
-            .select("stratum", "rule", F.expr("""
+    tested = tried.withColumn("holds", F.expr(binomial_cdf("k", "n", risk)) <= error / len(BANDS))
+    # Small from here on: at most one row per stratum and step.
+    steps = F.sort_array(F.collect_list(F.struct("step", "holds", "k", "caught")))
+    used = (tested.groupBy("stratum").agg(steps.alias("steps"))
+            .select("stratum", F.expr("""
                 slice(steps, 1, coalesce(nullif(array_position(transform(steps, s -> s.holds), false), 0),
                                          size(steps) + 1) - 1)""").alias("held"))
             .filter(F.size("held") > 0)
-            .select("stratum", "rule", F.expr("""
-                array_max(transform(held, s -> struct(s.caught - s.k AS gain, -s.step AS lenient,
-                                                      s.cutoff AS cutoff)))""").alias("best"))
-            .filter("best.gain > 0").select("stratum", "rule", "best.cutoff"))
+            .select("stratum", F.expr("""
+                array_max(transform(held, s -> struct(s.caught - s.k AS gain, -s.step AS lenient)))
+                """).alias("best"))
+            .filter("best.gain > 0").select("stratum", (-F.col("best.lenient")).alias("last")))
+    # A rule's cutoff is the strictest that the path has given it by then.
+    path = F.array(*[F.struct(F.lit(t).alias("step"), F.lit(name).alias("rule"),
+                              F.lit(RULES[name][1][j]).alias("cutoff"))
+                     for t, (name, j) in enumerate(PATH)])
+    return (used.select("stratum", "last", F.explode(path).alias("p")).filter("p.step <= last")
+            .groupBy("stratum", "p.rule").agg(F.min("p.cutoff").alias("cutoff")))
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -267,3 +267,15 @@ def test_redaction_with_columns_named_like_results(spark):
     assert red.columns == docs.columns
     assert sorted(map(tuple, red.collect())) == [
         (1, "see [secret] here", *names), (2, "", *[None] * len(names))]
+
+
+def test_quality_rejects_at_the_default_risk_once_labels_suffice(spark):
+    """(1 - 0.01) ** n falls to 0.05 / 3 at 408 good texts of a stratum."""
+    for good, rejects in ((407, False), (408, True)):
+        texts = [words(120, i) for i in range(good)]
+        texts += [" ".join(f"{w}***" for w in words(120, 5000 + i).split()) for i in range(10)]
+        labels = spark.createDataFrame([(i, int(i < good), 0) for i in range(len(texts))],
+                                       "doc_id long, quality int, toxic int")
+        got = {x["doc_id"]: x["kept"] for x in quality.judge(docs_of(spark, texts), labels).collect()}
+        assert all(got[i] for i in range(good))
+        assert [got[i] for i in range(good, len(texts))] == [not rejects] * 10
