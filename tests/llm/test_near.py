@@ -1,9 +1,10 @@
 """Near copies against brute force over five-word Jaccard similarity."""
 
 import random
+from itertools import combinations
 
 import corpus_pipeline
-from attesta.llm import near
+from attesta.llm import near, simhash
 
 
 def words(n, seed):
@@ -65,11 +66,15 @@ def test_near_copies_equal_brute_force(spark):
 
 
 def test_pipeline_drops_edited_copies(spark):
-    """One word of a hundred replaced: five shingles, about five bits of a fingerprint."""
-    base = words(100, 7)
-    texts = [base, edited(base, {40}), edited(base, {70}), words(100, 8)]
-    rows = spark.createDataFrame([(i, " ".join(t), i) for i, t in enumerate(texts)],
+    """Two words of a hundred replaced: ten shingles of five, and more than two bits of op4's
+    digest."""
+    base = words(100, 9)
+    copies = [edited(base, {k, k + 30}) for k in (20, 40, 60)]
+    texts = [" ".join(t) for t in (base, *copies, words(100, 8))]
+    prints = [simhash.fingerprint(t) for t in texts[:4]]
+    assert all((a ^ b).bit_count() > simhash.MOST_BITS for a, b in combinations(prints, 2))
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)],
                                  "doc_id long, text string, root int")
     left = corpus_pipeline.drop_near_duplicates(spark, rows, "")
     assert left.columns == rows.columns
-    assert sorted(r["doc_id"] for r in left.collect()) == [0, 3]
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 4]
