@@ -41,6 +41,15 @@ def map_arrow(df: DataFrame, columns: list[Column | str],
     return df.select(*columns).mapInArrow(work, schema)
 
 
+def aside(df: DataFrame, keep: tuple[str, ...]) -> tuple[list[Column], list[str], str, list[Column]]:
+    """Carry columns of any name, dots and clashes included, through a task function: the columns
+    under plain names, these names, their schema, and the columns under their own names again."""
+    plain = [f"kept_{i}" for i in range(len(keep))]
+    types = "".join(f"{p} {df.schema[k].dataType.simpleString()}, " for p, k in zip(plain, keep))
+    return ([F.col(f"`{k}`").alias(p) for p, k in zip(plain, keep)], plain, types,
+            [F.col(p).alias(k) for p, k in zip(plain, keep)])
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of an id written as text, modulo n. A null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % n

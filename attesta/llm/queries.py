@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import (
-    chat, decontaminate, langid, lm, pieces, quality, repeats, secrets, simhash, warc,
+    alignment, chat, decontaminate, langid, licences, lm, pieces, quality, repeats, secrets,
+    simhash, warc,
 )
 from attesta.llm.common import crc_mod, table
 from attesta.session import configure, work_path
@@ -85,6 +86,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
 
 
+@query
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"),
+                           pieces.read_model(public_tokenizers.path("byte_bpe_50k.json")),
+                           pieces.read_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 SQL["op10_warc"] = """
 WITH known AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 firsts AS (SELECT sha256(html) AS k, min(page_id) AS first FROM known GROUP BY 1),
