@@ -107,3 +107,16 @@ def test_empty_tables_and_clashes(spark):
     assert len(got) == 3 and got[0][1:] == (0, 0, 0, 0, 0, 0, "") and got[2][0] is None
     with pytest.raises(ValueError):
         alignment.align(docs.withColumnRenamed("doc_id", "N_best"), A, B, keep=("N_best",))
+
+
+def test_rank_form_and_file_form_agree():
+    own = alignment.ByteLevel(A)
+    assert own.ranked is not None
+    r = random.Random(2)
+    letters = "ab'tsdlmrev  \n\t.,;0123456789éüß×÷ª²½—“”…  ​́Ω日🙂\x00\x7f\x85"
+    given = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(400)]
+    given += ["a" * 399, "a" * 401, " " * 399, " " * 500, "I'll we'VE don't", "\n\n\nx", "x   \n y"]
+    direct = [e.ids for e in own.tokenizer.encode_batch([" " + t for t in given],
+                                                        add_special_tokens=False)]
+    assert own.encode(given) == direct
+    assert any(map(own._plain, given)) and not all(map(own._plain, given))
