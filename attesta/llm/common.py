@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,16 @@ def aside(df: DataFrame, keep: tuple[str, ...]) -> tuple[list[Column], list[str]
             [F.col(p).alias(k) for p, k in zip(plain, keep)])
 
 
+def sent(spark: SparkSession, thing: Any) -> Callable[[], Any]:
+    """Send a value to all tasks once; calling the result in a task gives it back.
+
+    It travels as bytes that hold its class as well, so workers that cannot import this package
+    can read it, which a plain broadcast of an object of ours would need.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: cloudpickle.loads(held.value)
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of an id written as text, modulo n. A null id counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % n
