@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.common import sent
+
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 mass that a passage must hold, and the overlap that verifies it.
 THRESHOLD = 0.6
@@ -236,13 +238,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = None
     for index in build_shards(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = sent(docs.sparkSession, index)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = shared()
             for batch in batches:
                 which, hits = [], []
                 for i, t in enumerate(batch.column(1)):
-                    for hit in shared.value.matches(t.as_py(), threshold, overlap):
+                    for hit in own.matches(t.as_py(), threshold, overlap):
                         which.append(i)
                         hits.append(hit)
                 columns = list(zip(*hits)) if hits else [[], [], [], []]

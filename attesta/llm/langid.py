@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.common import sent
+
 BUCKETS = 1 << 13
 LONGEST = 3
 CLUSTERS = 4
@@ -199,13 +201,14 @@ def predict(docs: DataFrame, model: Centroids, text: str = "text",
     """Kept columns, lang_pred, score (cosine, 0 to 1) and rejected, for every row."""
     n = len(keep)
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared()
         for batch in batches:
             texts = batch.column(n).to_pylist()
             found = [p for at in range(0, len(texts), 100)
-                     for p in shared.value.predict(texts[at:at + 100])]
+                     for p in own.predict(texts[at:at + 100])]
             columns = list(zip(*found)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(n)], pa.array(columns[0], pa.string()),

@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import gru
-from attesta.llm.common import lower_words_of, settle
+from attesta.llm.common import lower_words_of, sent, settle
 
 ALPHA = 0.1
 #: Words that are classes of their own; classes by ending.
@@ -149,20 +149,21 @@ def build_vocabulary(counts: DataFrame, n_texts: int, frequent: int = FREQUENT)
     return Vocabulary(top, [tuple(r) for r in totals], n_texts)
 
 
-def train(rows: DataFrame, vocabulary, classes: np.ndarray,
+def train(rows: DataFrame, vocabulary: Callable[[], Vocabulary], classes: np.ndarray,
           rounds: int = ROUNDS) -> list[np.ndarray]:
     """Weights averaged over all tasks, round by round. Each text is in one round's part."""
     spark = rows.sparkSession
     params = gru.init(CLASSES, classes)
     shapes = [p.shape for p in params]
     for r in range(rounds):
-        sent = spark.sparkContext.broadcast(params)
+        before = spark.sparkContext.broadcast(params)
 
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            trainer, texts, size = gru.Trainer(sent.value), [], 0
+        def work(batches: Iterator[pa.RecordBatch], before=before) -> Iterator[pa.RecordBatch]:
+            trainer, texts, size = gru.Trainer(before.value), [], 0
+            own = vocabulary()
             for batch in batches:
                 for value in batch.column(0):
-                    texts.append(vocabulary.value.read(value.as_py())[0])
+                    texts.append(own.read(value.as_py())[0])
                     size += len(texts[-1])
                     if size >= TRAINED:
                         trainer.train(texts)
@@ -201,12 +202,13 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id",
                        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     known = rows.filter(~F.col("held_out"))
     counts = settle(count_words(known), "lm-counts")
-    vocabulary = spark.sparkContext.broadcast(build_vocabulary(counts, known.count()))
-    params = spark.sparkContext.broadcast(train(known, vocabulary, vocabulary.value.tokens))
+    words = build_vocabulary(counts, known.count())
+    vocabulary = sent(spark, words)
+    params = spark.sparkContext.broadcast(train(known, vocabulary, words.tokens))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary.value
+        own = vocabulary()
 
         def out(ids: list[pa.Array], flags: list[pa.Array], read: list[tuple]) -> pa.RecordBatch:
             classes = [r[0] for r in read]
@@ -248,7 +250,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id",
                 F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
                 F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ALPHA)))
                 .alias("more_log_c")))
-    n, v = vocabulary.value.n, vocabulary.value.v
+    n, v = words.n, words.v
     log_c = F.col("log_c") + F.coalesce("more_log_c", F.lit(0.0))
     return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
