@@ -79,6 +79,16 @@ class Element:
     tag: str
     attrs: dict
     children: list = field(default_factory=list)
+    parent: Element | None = field(default=None, repr=False, compare=False)
+
+    def closest(self, tag: str | None = None, cls: str | None = None) -> Element | None:
+        """The nearest element around this one, itself included, with the tag and class."""
+        found = self
+        while found is not None and not (
+                (tag is None or found.tag == tag)
+                and (cls is None or cls in found.attrs.get("class", "").split())):
+            found = found.parent
+        return found
 
     def text(self) -> str:
         parts, waiting = [], list(reversed(self.children))
@@ -111,17 +121,22 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         element = Element(tag, {k: v or "" for k, v in attrs})
-        ended, stop = _ENDS.get(tag, ()), _INSIDE - _ENDS.get(tag, set())
+        if tag in _ENDS:
+            self._end_implied(tag)
+        element.parent = self.open[-1]
+        self.open[-1].children.append(element)
+        if tag not in _VOID:
+            self.open.append(element)
+
+    def _end_implied(self, tag):
+        ended, stop = _ENDS[tag], _INSIDE - _ENDS[tag]
         for depth in range(len(self.open) - 1, 0, -1):
             if self.open[depth].tag in stop:
-                break
+                return
             if self.open[depth].tag in ended:
                 del self.open[depth:]
                 if tag not in ("tr", "thead", "tbody", "tfoot"):
-                    break
-        self.open[-1].children.append(element)
-        if tag not in _VOID:
-            self.open.append(element)
+                    return
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, 0, -1):
@@ -274,6 +289,48 @@ def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
              "text string, badge string")
 
 
+def _page_rows(pages: DataFrame, schema: str, rows_of) -> DataFrame:
+    """(page_id, *schema) of `rows_of(parsed page)`, page by page."""
+    names = ["page_id", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(page_id, *row) for page_id, html in batch.itertuples(index=False)
+                                for row in rows_of(parse_html(html))], columns=names)
+
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "html").mapInPandas(run, f"page_id {id_type}, {schema}")
+
+
+def text_around(pages: DataFrame, mark: tuple[str, str | None], around: tuple[str | None, str | None],
+                part: tuple[str, str | None] = ("p", None)) -> DataFrame:
+    """(page_id, text): the first `part` in the nearest `around` of a page's first `mark`. Pages
+    without one of them have no row."""
+    def rows_of(page: Element) -> Iterator[tuple]:
+        first = page.first(*mark)
+        block = first.closest(*around) if first else None
+        found = block.first(*part) if block else None
+        if found:
+            yield (found.text(),)
+
+    return _page_rows(pages, "text string", rows_of)
+
+
+def text_beside_anchors(pages: DataFrame, prefix: str, around: str = "td", part: str = "p",
+                        skip: int = 1) -> DataFrame:
+    """(page_id, pos, href, text): for every anchor to a path with the prefix, the parts of the
+    nearest `around` behind the first `skip`, which name the record, in one text."""
+    def rows_of(page: Element) -> Iterator[tuple]:
+        for pos, anchor in enumerate(page.all("a")):
+            href = anchor.attrs.get("href", "")
+            if href.startswith(prefix):
+                cell = anchor.closest(around)
+                texts = [x.text() for x in cell.all(part)][skip:] if cell else []
+                yield pos, href, " ".join(t for t in texts if t)
+
+    return _page_rows(pages, "pos int, href string, text string", rows_of)
+
+
 def extract_nested(pages: DataFrame, prefix: str = "heading", html: str = "html") -> DataFrame:
     """Two-level accordion: items `prefix-group-item` under headers `prefix-group`.
 

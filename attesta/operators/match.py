@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attesta import constants as K
 from attesta.functions import text as X
+from attesta.operators.similar import most_similar
 from attesta.session import materialize
 
 
@@ -141,22 +142,13 @@ def did_you_mean(queries: DataFrame, dictionary: DataFrame, columns: Sequence[st
                  limit: int = K.SUGGEST_LIMIT) -> DataFrame:
     """Top suggestions per missed query over one or more dictionary columns.
 
-    Columns: query, slug, score, place. The greatest similarity over the columns counts.
+    Columns: query, slug, score, place. The greatest similarity over the columns counts. All
+    columns are one pass over one set of texts, whose trigrams are worked out once.
     """
-    arms = []
-    for column in columns:
-        pairs = similar_pairs(queries.select(F.col(query).alias("text")),
-                              dictionary.select(F.col(column).alias("text")),
-                              threshold, inclusive=False)
-        arms.append(pairs.join(dictionary.select("slug", F.col(column).alias("right_text")),
-                               "right_text").select(F.col("left_text").alias(query), "slug",
-                                                    "score"))
-    scored = arms[0]
-    for arm in arms[1:]:
-        scored = scored.unionByName(arm)
-    best = scored.groupBy(query, "slug").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "slug"))
-    return best.withColumn("place", place).filter(F.col("place") <= limit)
+    entries = dictionary.select(F.col("slug").alias("key"), F.explode(F.array(*columns))
+                                .alias("text"))
+    found = most_similar(queries.select(F.col(query).alias("text")), entries, limit, threshold)
+    return found.select(F.col("text").alias(query), F.col("key").alias("slug"), "score", "place")
 
 
 def unmatched(offerings: DataFrame, sources: DataFrame) -> DataFrame:

@@ -101,18 +101,33 @@ def plan(incoming: DataFrame, table: DataFrame, parsed_sources: DataFrame,
     return RunPlan(run_id, verdicts, classified, next_state, events, batches, payload, aliases)
 
 
+def touched_by(run: RunPlan, path: str, keys: Sequence[str]) -> list[int] | None:
+    """Buckets of the table in which the run changes a row; None, all of them, where rows move
+    from key to key."""
+    if run.aliases is not None:
+        return None
+    changed = run.classified.filter(F.col("class") != "untouched")
+    return store.touched_buckets(changed, path, keys)
+
+
 def commit(run: RunPlan, root: str, table: str, cluster_by: Sequence[str] = (),
-           version: int | None = None) -> int:
+           version: int | None = None, keys: Sequence[str] = (),
+           only: Sequence[int] | None = None) -> int:
     """Write a run: logs first, the table last, so a state never precedes its events.
 
-    A run that failed half-way and is repeated replaces its own logs.
+    A run that failed half-way and is repeated replaces its own logs. With the table's `keys` it is
+    kept in buckets, and only those with a changed row are written: those of `only`, where the run
+    was planned over a part of the table, else those that the classified rows name.
     """
+    path = f"{root}/{table}"
+    if keys and only is None and store.current_version(run.classified.sparkSession, path, version):
+        only = touched_by(run, path, keys)
     store.write_log(run.quarantine, f"{root}/quarantine", run.run_id)
     store.write_log(run.quarantine_payload, f"{root}/quarantine_payload", run.run_id)
     store.write_log(run.events, f"{root}/change_events", run.run_id)
     if run.aliases is not None:
         store.write_log(run.aliases, f"{root}/slug_aliases", run.run_id)
-    return store.write_version(run.next_state, f"{root}/{table}", cluster_by, version)
+    return store.write_version(run.next_state, path, cluster_by, version, keys, only)
 
 
 def publish_all(steps: Mapping[str, Callable[[dict[str, DataFrame]], DataFrame]]

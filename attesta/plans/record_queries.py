@@ -549,7 +549,7 @@ _MENU = E.CardSpec(card=("li", None), title=("a", None))
 SELECT page_id, pos, name AS source_name, slug, CAST(NULL AS VARCHAR) AS unit_slug, 'active' AS status
 FROM k WHERE i = 1""")
 def menu_offerings(spark, sf):
-    records, _ = P.offerings_from_columns(B.pages(spark, sf), ["basd", "eaad"], _MENU)
+    records, _ = P.offerings_from_columns(B.pages(spark, sf), [], _MENU)
     return records.select("page_id", "pos", "source_name", "slug", "unit_slug", "status")
 
 
@@ -559,9 +559,30 @@ def menu_offerings(spark, sf):
 SELECT page_id, 'card with no title' AS warning FROM s WHERE name = '' UNION ALL
 SELECT page_id, '"' || name || '" gives no slug' FROM s WHERE name <> '' AND slug = '' UNION ALL
 SELECT page_id, 'duplicate on this page: ' || slug FROM k WHERE i > 1 AND slug <> '' UNION ALL
-SELECT page_id, '"' || name || '" names no unit' FROM s WHERE name <> ''""")
+SELECT page_id, '"' || name || '" names no unit' FROM s WHERE name <> '' UNION ALL
+SELECT page_id, 'no course cards found on this page' FROM pages
+WHERE page_id NOT IN (SELECT page_id FROM s WHERE name <> '' AND slug <> '')""")
 def menu_warnings(spark, sf):
-    return P.offerings_from_columns(B.pages(spark, sf), ["basd", "eaad"], _MENU)[1]
+    return P.offerings_from_columns(B.pages(spark, sf), [], _MENU)[1]
+
+
+# Every page has blocks whose class names a unit of the list: that unit owns what they offer.
+_OWNED = E.CardSpec(card=("div", None), title=None)
+
+
+@query("owned_offerings", rf"""WITH b AS (SELECT page_id, unnest(list) AS card,
+    generate_subscripts(list, 1) AS pos FROM (SELECT page_id, regexp_extract_all(
+    regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'),
+    '(?is)<div class="ad">.*?</div>') AS list FROM pages)),
+n AS (SELECT page_id, pos, {B.text_sql("card")} AS name FROM b),
+s AS (SELECT *, {slug_sql("name")} AS slug FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, slug ORDER BY pos) AS i FROM s
+  WHERE name <> '' AND slug <> '')
+SELECT page_id, name AS source_name, slug, 'ad' AS unit_slug FROM k WHERE i = 1""")
+def owned_offerings(spark, sf):
+    records, _ = P.offerings_from_columns(B.pages(spark, sf), ["ad"], _OWNED)
+    return records.filter(F.col("unit_slug").isNotNull()).select(
+        "page_id", "source_name", "slug", "unit_slug")
 
 
 @query("accordion_offerings", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -578,9 +599,25 @@ def accordion_offerings(spark, sf):
 
 @query("anchor_units", rf"""WITH {ANCHORS_SQL}, s AS (SELECT page_id, pos,
   regexp_extract(a, 'title="([^"]*)"', 1) AS title, regexp_extract(a, 'href="([^"]*)"', 1) AS href
-  FROM anchors) SELECT page_id, count(DISTINCT regexp_extract(href, '([^/]*)/*$', 1)) AS unnamed
-FROM s WHERE href LIKE '/%' AND regexp_extract(href, '([^/]*)/*$', 1) <> '' GROUP BY 1""")
+  FROM anchors), u AS (SELECT DISTINCT page_id, regexp_extract(href, '([^/]*)/*$', 1) AS slug
+  FROM s WHERE href LIKE '/%')
+SELECT page_id, 'unit without a name: ' || slug AS warning FROM u WHERE slug <> ''
+UNION ALL SELECT page_id, 'no units found on this page' FROM pages""")
 def anchor_units(spark, sf):
-    """The pages' anchors carry no titles, so every unit is reported as unnamed."""
-    _, warnings = P.units_from_anchors(B.pages(spark, sf), "/")
-    return warnings.groupBy("page_id").agg(F.count(F.lit(1)).alias("unnamed"))
+    """The pages' anchors carry no titles, so every unit is reported as unnamed, and no page has
+    any."""
+    return P.units_from_anchors(B.pages(spark, sf), "/")[1]
+
+
+@query("described_units", rf"""WITH a AS (SELECT page_id, {B.text_sql("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1)")} AS name FROM pages)
+SELECT page_id, name, 'U' || page_id AS abbreviation, 'About ' || name AS description FROM a WHERE name <> ''""")
+def described_units(spark, sf):
+    """Unit pages made of the pages' own headings, around a block that describes the unit."""
+    pages = B.pages(spark, sf)
+    name = E.text_of(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1", 1))
+    shown = F.replace(F.replace(name, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    made = pages.select(
+        "page_id", F.concat(F.lit("https://h.org/department/u"), "page_id").alias("url"),
+        F.concat(F.lit('<div class="about-content"><h2 class="about-title">'), shown,
+                 F.lit("</h2><p>About "), shown, F.lit("</p><p>more</p></div>")).alias("html"))
+    return P.units_from_pages(made)[0].select("page_id", "name", "abbreviation", "description")

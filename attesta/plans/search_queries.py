@@ -276,6 +276,40 @@ def rank_fusion(spark, sf):
     return hybrid(spark, sf)
 
 
+# Site and least confidence count inside both arms, statistics of the words included.
+_FILTERED_SQL = f"""asked AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS v
+  FROM benchmark JOIN embeddings ON vec_id = item_id),
+allowed AS (SELECT d.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+  WHERE lang = 'en' AND quality = 1),
+vector_hits AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(v,
+    CAST(embedding AS DOUBLE[])), 6) AS score FROM asked, embeddings
+  WHERE vec_id IN (SELECT doc_id FROM allowed)),
+vectors AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)
+  AS INTEGER) AS vec_rank FROM vector_hits QUALIFY vec_rank <= {K.ARM_DEPTH}),
+{_lexical_sql(_PASSAGES, _DOCS + " WHERE doc_id IN (SELECT doc_id FROM allowed)")},
+cand AS (SELECT query_id, chunk_id FROM vectors UNION SELECT query_id, chunk_id FROM lexical)
+SELECT * FROM (SELECT c.query_id, c.chunk_id, v.vec_rank, l.lex_rank, round(
+    coalesce(1.0 / ({K.RRF_K} + v.vec_rank), 0) + coalesce(1.0 / ({K.RRF_K} + l.lex_rank), 0), 9)
+      AS rrf_score, CAST(row_number() OVER (PARTITION BY c.query_id ORDER BY round(
+    coalesce(1.0 / ({K.RRF_K} + v.vec_rank), 0) + coalesce(1.0 / ({K.RRF_K} + l.lex_rank), 0), 9)
+      DESC, c.chunk_id) AS INTEGER) AS place
+  FROM cand c LEFT JOIN vectors v ON v.query_id = c.query_id AND v.chunk_id = c.chunk_id
+  LEFT JOIN lexical l ON l.query_id = c.query_id AND l.chunk_id = c.chunk_id) WHERE place <= 20"""
+
+
+@query("filtered_search", f"WITH {_FILTERED_SQL}")
+def filtered_search(spark, sf):
+    passages, vectors = _passages(spark, sf), _vectors(spark, sf)
+    queries = passages.join(vectors.withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
+    levels = load_table(spark, sf, "labels").select(
+        F.col("doc_id").alias("chunk_id"),
+        F.when(F.col("quality") == 1, "medium").otherwise("low").alias("confidence"))
+    docs = load_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"),
+        F.col("lang").alias("site")).join(levels, "chunk_id")
+    return R.hybrid_search(queries, docs, vectors, 20, site="en", confidence="medium")
+
+
 @query("evidence_rows", f"""WITH {_HYBRID_SQL} SELECT r.query_id, r.chunk_id, place, lex_rank, vec_rank,
   d.text AS content, d.source AS source_url FROM ranked r JOIN documents d ON d.doc_id = r.chunk_id""")
 def evidence_rows(spark, sf):

@@ -28,6 +28,24 @@ def scan_pages(spark, sf):
         H.content_hash(F.col("html")).alias("content_hash"))
 
 
+@query("captured_pages", """SELECT url, epoch(TIMESTAMP '2026-01-01') + page_id AS fetched_second,
+  CAST(CASE WHEN page_id % 10 = 0 THEN 404 ELSE 200 END AS INTEGER) AS status,
+  'text/html; charset=utf-8' AS content_type, octet_length(encode(html)) AS byte_size,
+  sha256(html) AS content_hash, 'ok' AS verdict FROM pages""")
+def captured_pages(spark, sf):
+    """The pages written as captured files, and scanned again."""
+    root = work_path(spark, "captured")
+    second = F.unix_timestamp(B.ts("2026-01-01")) + F.col("page_id")
+    scans.capture_pages(scans.load_table(spark, sf, "pages").select(
+        "url", F.timestamp_seconds(second).alias("fetched_at"),
+        F.when(F.col("page_id") % 10 == 0, 404).otherwise(200).alias("status"),
+        F.lit("text/html; charset=utf-8").alias("content_type"),
+        F.col("html").cast("binary").alias("body")), root)
+    return scans.load_captured(spark, root).select(
+        "url", F.unix_timestamp("fetched_at").cast("double").alias("fetched_second"), "status",
+        "content_type", "byte_size", H.content_hash(F.col("body")).alias("content_hash"), "verdict")
+
+
 @query("scan_manifests", """SELECT source || '/' || doc_id AS url, sha256(text) AS sha256,
   lang AS content_type FROM documents""")
 def scan_manifests(spark, sf):

@@ -60,14 +60,17 @@ def stream_upsert(spark, sf):
         B.pick(B.STATUS_BY_CODE, F.col("o_orderstatus")).alias("status"),
         F.floor(F.col("o_totalprice") / 100000).cast("int").alias("band"))
 
-    def plan_batch(batch, table, run_id):
+    def records(batch):
         # The newest delivery of a key speaks for the batch.
         newest = batch.groupBy("source_id").agg(F.max(F.struct("pos", "status", "band")).alias("_t")
                                                 ).select("source_id", "_t.*")
-        coming = newest.join(sources, "source_id").select(
+        return newest.join(sources, "source_id").select(
             F.col("site").alias("owner"), "site",
             F.concat(F.col("source_id"), F.lit("-document")).alias("slug"), "status", "band",
             "source_id", "pos")
+
+    def plan_batch(batch, table, run_id):
+        coming = records(batch)
         none = spark.createDataFrame(
             [], "owner string, entity_type string, min_rows int, max_rows int")
         return ingest.plan(coming, table, coming.select("source_id").distinct(), none,
@@ -79,7 +82,8 @@ def stream_upsert(spark, sf):
 
     root = work_path(spark, "upsert")
     S.each_batch(stream, S.upsert_step(root, "entities", plan_batch, empty,
-                                       newest=("source_id", "pos")),
+                                       newest=("source_id", "pos"), keys=("site", "slug"),
+                                       keys_of=records),
                  f"{root}/checkpoint").awaitTermination()
     return store.read_version(spark, f"{root}/entities").select("slug", "status", "band",
                                                                 "miss_count")

@@ -8,7 +8,10 @@ broadcast without its size having been measured.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +47,34 @@ def work_root(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/attesta/{label}-{uuid.uuid4().hex}"
+    path = f"{work_root(spark)}/attesta/{label}-{uuid.uuid4().hex}"
+    for made in getattr(_scratch, "made", ()):
+        made.append(path)
+    return path
+
+
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end. For work whose results are written
+    by then, such as a micro-batch: frames that still read them cannot be used afterwards."""
+    made: list[str] = []
+    stack = _scratch.__dict__.setdefault("made", [])
+    stack.append(made)
+    try:
+        yield
+    finally:
+        stack.pop()
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library in whatever store its path names; a missing one is fine."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

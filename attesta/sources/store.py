@@ -1,15 +1,17 @@
-"""Sinks: content-addressed snapshots, append-only logs, versioned tables, replay."""
+"""Sinks: content-addressed snapshots, append-only logs, replay; versioned tables by name."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.hashing import content_hash, storage_key
 from attesta.operators.gate import latest_snapshot
+from attesta.sources.versions import (  # noqa: F401
+    current_version, read_version, retire, touched_buckets, write_version,
+)
 
 
 def with_storage_key(snapshots: DataFrame, owner: str = "owner", body: str = "body") -> DataFrame:
@@ -125,40 +127,3 @@ def parse_diff(then: DataFrame, now: DataFrame, keys: Sequence[str] = ("entity_t
 def snapshots_as_of(snapshots: DataFrame, at: Column) -> DataFrame:
     """The newest snapshot of every source at a time: what a rebuild parses again."""
     return latest_snapshot(snapshots.filter(F.col("fetched_at") <= at))
-
-
-# --- versioned tables --------------------------------------------------------------------
-# Plain Parquet has no MERGE. A table's next state is written whole beside the old one, and
-# a row in the `versions` log makes it the current one, so readers see all of it or none.
-
-def current_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """Newest committed version, or the newest before `below`."""
-    try:
-        log = spark.read.schema("version long").parquet(f"{path}/versions")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
-    if below is not None:
-        log = log.filter(F.col("version") < below)
-    return log.agg(F.max("version")).first()[0]
-
-
-def read_version(spark: SparkSession, path: str, version: int | None = None,
-                 below: int | None = None) -> DataFrame | None:
-    version = current_version(spark, path, below) if version is None else version
-    return None if version is None else spark.read.parquet(f"{path}/v{version:08d}")
-
-
-def write_version(df: DataFrame, path: str, cluster_by: Sequence[str] = (),
-                  version: int | None = None) -> int:
-    """Write the next state, or the given version: a stream batch that is delivered again
-    writes its own version again, from the version before it."""
-    spark = df.sparkSession
-    if version is None:
-        version = (current_version(spark, path) or 0) + 1
-    rows = df.sortWithinPartitions(*cluster_by) if cluster_by else df
-    rows.write.mode("overwrite").parquet(f"{path}/v{version:08d}")
-    spark.range(version, version + 1).toDF("version").write.mode("append").parquet(
-        f"{path}/versions")
-    return version

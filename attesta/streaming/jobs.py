@@ -7,7 +7,7 @@ caller, which must be shared storage on a cluster.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from attesta import constants as K
 from attesta.operators import reconcile as R
 from attesta.operators.skew import previous_value
+from attesta.session import scratch
 from attesta.sources import store
 
 
@@ -51,11 +52,13 @@ def content_gate_step(state_path: str, out_path: str, chunk: Column, order: str
     the same rows again under its own batch number, so nothing is doubled.
 
     The state holds the newest delivery with its place. A delivery older than that passes
-    unless its body is the newest one's; it never replaces the state.
+    unless its body is the newest one's; it never replaces the state. It is kept in buckets of
+    sources: a batch reads and rewrites those of its own sources, and retires what it replaced.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = store.read_version(spark, state_path, below=batch_id + 1)
+        mine = store.touched_buckets(batch, state_path, ["source_id"])
+        before = store.read_version(spark, state_path, below=batch_id + 1, only=mine)
         if before is None:
             before = batch.select("source_id", F.struct(
                 F.col(order).alias("at"), "snapshot_id", "content_hash").alias("last")).limit(0)
@@ -68,61 +71,101 @@ def content_gate_step(state_path: str, out_path: str, chunk: Column, order: str
         fresh = batch.select("source_id", F.struct(
             F.col(order).alias("at"), "snapshot_id", "content_hash").alias("last"))
         after = before.unionByName(fresh).groupBy("source_id").agg(F.max("last").alias("last"))
-        store.write_version(after, state_path, version=batch_id + 1)
+        store.write_version(after, state_path, version=batch_id + 1, keys=["source_id"], only=mine)
+        store.retire(spark, state_path)
     return step
 
 
 def upsert_step(root: str, table: str,
                 plan_batch: Callable[[DataFrame, DataFrame, str], object],
                 empty: Callable[[SparkSession], DataFrame],
-                newest: tuple[str, str] | None = None) -> Callable[[DataFrame, int], None]:
+                newest: tuple[str, str] | None = None, keys: Sequence[str] = (),
+                keys_of: Callable[[DataFrame], DataFrame] | None = None
+                ) -> Callable[[DataFrame, int], None]:
     """Run a publish plan per batch: validated records in, next table version out.
 
     With `newest`, a key and a place of the records, a record counts only if its place lies
     behind the last one that came with its key. With a plan for `partial` batches the table
     then does not depend on how the records are cut into batches or in which order they come.
 
+    With `keys`, the table's keys, it is kept in buckets, and only those with a changed row are
+    written. With `keys_of` as well, which gives the keys of a batch's records, only their buckets
+    are read and planned over: right for partial batches, which leave all other rows alone.
+
     Version and run id follow the batch number, so a replayed batch starts from the state
-    before it: rows are not aged twice and events are not doubled.
+    before it: rows are not aged twice and events are not doubled. Versions older than that and
+    the batch's intermediate tables are deleted.
     """
     from attesta.plans.ingest import commit
 
+    def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
+        """Records behind the last place of their key; the places move on."""
+        key, place = newest
+        path = f"{root}/{table}_places"
+        mine = store.touched_buckets(batch, path, [key])
+        places = batch.groupBy(key).agg(F.max(place).alias("_last"))
+        before = store.read_version(batch.sparkSession, path, below=batch_id + 1, only=mine)
+        if before is not None:
+            batch = batch.join(before, key, "left").filter(F.coalesce(
+                F.col(place) > F.col("_last"), F.col("_last").isNull())).drop("_last")
+            places = places.unionByName(before).groupBy(key).agg(F.max("_last").alias("_last"))
+        store.write_version(places, path, version=batch_id + 1, keys=[key], only=mine)
+        return batch
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = store.read_version(spark, f"{root}/{table}", below=batch_id + 1)
-        if newest:
-            key, place = newest
-            places = batch.groupBy(key).agg(F.max(place).alias("_last"))
-            before = store.read_version(spark, f"{root}/{table}_places", below=batch_id + 1)
-            if before is not None:
-                batch = batch.join(before, key, "left").filter(F.coalesce(
-                    F.col(place) > F.col("_last"), F.col("_last").isNull())).drop("_last")
-                places = places.unionByName(before).groupBy(key).agg(F.max("_last").alias("_last"))
-            store.write_version(places, f"{root}/{table}_places", version=batch_id + 1)
-        run = plan_batch(batch, empty(spark) if current is None else current, f"batch-{batch_id}")
-        commit(run, root, table, version=batch_id + 1)
+        path = f"{root}/{table}"
+        with scratch(spark):
+            if newest:
+                batch = fresh(batch, batch_id)
+            mine = None if keys_of is None else store.touched_buckets(keys_of(batch), path, keys)
+            current = store.read_version(spark, path, below=batch_id + 1, only=mine)
+            run = plan_batch(batch, empty(spark) if current is None else current,
+                             f"batch-{batch_id}")
+            commit(run, root, table, version=batch_id + 1, keys=keys, only=mine)
+        for name in (table, f"{table}_places"):
+            store.retire(spark, f"{root}/{name}")
     return step
 
 
-def miss_counter_step(state_path: str) -> Callable[[DataFrame, int], None]:
+def miss_counter_step(state_path: str, keep_runs: int | None = None
+                      ) -> Callable[[DataFrame, int], None]:
     """Misses per ref: runs that looked at the ref's source since its last sighting.
 
     A batch holds (source_id, ref, run_no). State is two small sets: the last sighting of each
     ref and the runs of each source. Both fold by max and distinct, so a ref or source with
-    very many rows is combined before any shuffle; a replayed batch changes nothing.
+    very many rows is combined before any shuffle; a replayed batch changes nothing. They are kept
+    in buckets of sources, and a batch reads and rewrites those of its own sources.
+
+    With `keep_runs`, at least one more than the misses that remove a ref, only the newest runs of
+    a source are remembered, and a sighting before all of them counts as of the oldest: the counts
+    of removed refs then stop there, all others and every status stay as they are.
     """
+    if keep_runs is not None and keep_runs <= K.MISSES_TO_REMOVE:
+        raise ValueError(f"at least {K.MISSES_TO_REMOVE + 1} runs are needed")
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        mine = store.touched_buckets(batch, state_path, ["source_id"])
         sightings = batch.groupBy("source_id", "ref").agg(F.max("run_no").alias("run_no"))
         looked = batch.groupBy("source_id", "run_no").agg(F.lit(None).cast("string").alias("ref"))
         rows = sightings.unionByName(looked)
-        state = store.read_version(spark, state_path, below=batch_id + 1)
+        state = store.read_version(spark, state_path, below=batch_id + 1, only=mine)
         if state is not None:
             rows = rows.unionByName(state)
         seen = rows.filter(F.col("ref").isNotNull()).groupBy("source_id", "ref").agg(
             F.max("run_no").alias("run_no"))
         runs = rows.filter(F.col("ref").isNull()).select("source_id", "run_no", "ref").distinct()
-        store.write_version(seen.unionByName(runs), state_path, version=batch_id + 1)
+        if keep_runs is not None:
+            newest = Window.partitionBy("source_id").orderBy(F.desc("run_no"))
+            runs = runs.withColumn("_place", F.row_number().over(newest)).filter(
+                F.col("_place") <= keep_runs).drop("_place")
+            oldest = runs.groupBy("source_id").agg(F.min("run_no").alias("_oldest"))
+            seen = seen.join(oldest, "source_id").select(
+                "source_id", "ref", F.greatest("run_no", "_oldest").alias("run_no"))
+        store.write_version(seen.unionByName(runs), state_path, version=batch_id + 1,
+                            keys=["source_id"], only=mine)
+        store.retire(spark, state_path)
     return step
 
 

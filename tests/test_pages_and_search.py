@@ -10,6 +10,7 @@ from attesta.operators import catalog as I
 from attesta.operators import chunking as J
 from attesta.operators import extract as E
 from attesta.operators import freshness as H
+from attesta.operators import grid
 from attesta.operators import retrieval as R
 
 
@@ -188,7 +189,8 @@ def test_lexical_arm_equals_brute_force(spark):
 
 
 def test_vector_arm_is_exact_over_blocks_and_partitions(spark, monkeypatch):
-    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(grid, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(R, "SLICE", 3)
     rng = np.random.default_rng(1)
     vectors, asked = rng.normal(size=(200, 8)), rng.normal(size=(5, 8))
     vectors[7] = 0

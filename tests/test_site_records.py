@@ -131,3 +131,38 @@ def test_from_pages_to_published_rows(spark, rows):
     seen = G.gate(raw, G.latest_hash(raw.select("source_id", "content_hash", F.lit(1).alias(
         "fetched_at"), F.lit(1).alias("snapshot_id"))))
     assert rows(seen, "gate") == [("unchanged",)]
+
+
+def test_emptied_pages_are_reported_by_every_shape(spark, rows):
+    empty = pages(spark, ("https://h/a/x", "<p>Nothing here</p>"), ("https://h/a/y", ""))
+    for shape, what in ((P.offerings_from_accordion, "programs"),
+                        (P.offerings_from_linked_cards, "program cards"),
+                        (lambda p: P.offerings_from_columns(p, []), "course cards"),
+                        (P.units_from_anchors, "units"), (P.units_from_cards, "unit cards")):
+        records, warnings = shape(empty)
+        assert records.count() == 0
+        assert rows(warnings, "page_id", "warning") == [
+            (i, f"no {what} found on this page") for i in (0, 1)]
+
+
+def test_old_tables_describe_and_abbreviate_units(spark, rows):
+    cell = '<td><p><a href="pages/academics/{0}">{0}</a></p><p>{1}</p><p>{2}</p></td>'
+    html = ("".join(f'<a href="pagecollege/academics/{s}" title="College {s}"></a>' for s in ("a", "b", "c", "d"))
+            + "<table><tr>" + cell.format("a", "The College (CAB) of", "arts &amp; (XY) more") + cell.format("b", "", "")
+            + cell.format("z", "of no unit", "") + cell.format("c", "old", "prose")
+            + cell.format("c", "new (toolongabbr)", "") + "</tr></table>"
+            + '<a href="pages/academics/d">outside of cells</a>')
+    records, _ = P.units_from_anchors(pages(spark, ("https://h/a", html)))
+    assert rows(records, "slug", "description", "abbreviation") == [
+        ("a", "The College (CAB) of arts & (XY) more", "CAB"), ("b", None, None),
+        ("c", "new (toolongabbr)", None), ("d", None, None)]
+
+
+def test_departments_are_described_by_the_block_of_their_heading(spark, rows):
+    block = '<div class="about-content wide"><div><h2 class="about-title">{}</h2></div>{}</div>'
+    records, _ = P.units_from_pages(pages(
+        spark, ("https://h/d/one", "<p>before</p>" + block.format("One", "<p>First <b>text</b>.</p><p>more</p>")),
+        ("https://h/d/two", '<h2 class="about-title">Two</h2>' + block.format("Later", "<p>not its own</p>")),
+        ("https://h/d/three", block.format("Three", "")), ("https://h/d/four", block.format("Four", "<p> </p>"))))
+    assert rows(records, "slug", "name", "description") == [
+        ("four", "Four", None), ("one", "One", "First text."), ("three", "Three", None), ("two", "Two", None)]
