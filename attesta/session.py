@@ -71,6 +71,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders inside a folder, in whatever store its path names; none if missing."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(hadoop):
+        return []
+    return [s.getPath().getName() for s in store.listStatus(hadoop) if s.isDirectory()]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of this library in whatever store its path names; a missing one is fine."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

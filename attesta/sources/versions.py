@@ -2,20 +2,20 @@
 
 Plain Parquet has no MERGE. A table's rows are dealt to a fixed number of buckets by a hash of its
 keys. The next state is written beside the old one, but only for the buckets that hold a changed
-key; the version's manifest names, for every bucket, the version whose folder holds it. A row in
-the `versions` log makes a version the current one, so readers see all of it or none. Old versions
-stay readable until they are retired, and folders that no version names any more then go.
+key. A row in the `versions` log makes it the current one, and names for every bucket the version
+whose folder holds it, so readers see all of a version or none. Old versions stay readable until
+they are retired; bucket folders that no remaining version names then go.
 
 A table without keys is one bucket and is written whole.
 
     <path>/data/v00000007/_bucket=12/   rows
-    <path>/manifest/v00000007/          bucket, version that wrote it
-    <path>/versions/                    committed versions, number of buckets, schema
+    <path>/versions/                    committed versions: buckets, schema, place of each bucket
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -23,12 +23,13 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attesta.session import remove
+from attesta.session import folders, remove
 
-#: Buckets of a new table with keys; a table keeps the number it was made with.
-BUCKETS = 64
+#: Buckets of a new table with keys; a table keeps the number it was made with. Up to this many
+#: folders Spark lists on the driver; a table whose buckets grow beyond a few GB wants more.
+BUCKETS = 32
 
-_LOG = "version long, buckets int, schema string"
+_LOG = "version long, written long, buckets int, schema string, places map<int,long>"
 
 
 def _bucket(keys: Sequence[str], buckets: int) -> Column:
@@ -37,27 +38,34 @@ def _bucket(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def _log(spark: SparkSession, path: str) -> DataFrame | None:
+def _log(spark: SparkSession, path: str, kept: Column | None = None, newest: int = 1) -> list[Row]:
+    """The newest rows of the log, one per version, newest first. A version that was written
+    again counts as it was written last."""
     try:
-        return spark.read.schema(_LOG).parquet(f"{path}/versions")
+        log = spark.read.schema(_LOG).parquet(f"{path}/versions")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            return None
+            return []
         raise
+    if kept is not None:
+        log = log.filter(kept)
+    order = [F.desc("version"), F.desc("written")]
+    if newest == 1:
+        return log.orderBy(*order).limit(1).collect()
+    last = log.groupBy("version").agg(F.max_by("places", "written").alias("places"))
+    return last.orderBy(F.desc("version")).limit(newest).collect()
 
 
 def _head(spark: SparkSession, path: str, below: int | None = None,
           version: int | None = None) -> Row | None:
     """The log's row of a version: the newest, the newest before `below`, or the given one."""
-    log = _log(spark, path)
-    if log is None:
-        return None
-    if below is not None:
-        log = log.filter(F.col("version") < below)
+    kept = None
     if version is not None:
-        log = log.filter(F.col("version") == version)
-    return log.agg(F.max(F.struct(*_LOG.replace(" long", "").replace(" int", "")
-                                  .replace(" string", "").split(", "))).alias("h")).first()["h"]
+        kept = F.col("version") == version
+    elif below is not None:
+        kept = F.col("version") < below
+    found = _log(spark, path, kept)
+    return found[0] if found else None
 
 
 def current_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
@@ -66,12 +74,6 @@ def current_version(spark: SparkSession, path: str, below: int | None = None) ->
     return None if head is None else head["version"]
 
 
-def _places(spark: SparkSession, path: str, version: int) -> dict[int, int]:
-    """Version that wrote each bucket; as many entries as the table has buckets at most."""
-    rows = spark.read.schema("bucket int, written long").parquet(f"{path}/manifest/v{version:08d}")
-    return {r["bucket"]: r["written"] for r in rows.collect()}
-
-
 def touched_buckets(df: DataFrame, path: str, keys: Sequence[str],
                     buckets: int = BUCKETS) -> list[int]:
     """Buckets that the keys of a frame fall into: at most as many as the table has."""
@@ -86,12 +88,10 @@ def read_version(spark: SparkSession, path: str, version: int | None = None,
     head = _head(spark, path, below, version)
     if head is None:
         return None
-    schema = T.StructType.fromJson(json.loads(head["schema"]))
-    places = _places(spark, path, head["version"])
-    chosen = places if only is None else [b for b in only if b in places]
-    folders = [f"{path}/data/v{places[b]:08d}/_bucket={b}" for b in sorted(chosen)]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame(
-        [], schema)
+    schema, places = T.StructType.fromJson(json.loads(head["schema"])), head["places"]
+    chosen = sorted(places if only is None else {b for b in only if b in places})
+    paths = [f"{path}/data/v{places[b]:08d}/_bucket={b}" for b in chosen]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def write_version(df: DataFrame, path: str, cluster_by: Sequence[str] = (),
@@ -118,41 +118,41 @@ def write_version(df: DataFrame, path: str, cluster_by: Sequence[str] = (),
         rows = rows.hint("rebalance", "_bucket")  # a large bucket is several tasks and files
     if cluster_by:
         rows = rows.sortWithinPartitions("_bucket", *cluster_by)
-    folder = f"{path}/data/v{number:08d}"
-    rows.write.mode("overwrite").partitionBy("_bucket").parquet(folder)
-    filled = spark.read.schema("_bucket int").parquet(folder).distinct().collect()
-    places = {r["_bucket"]: number for r in filled}
+    rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v{number:08d}")
+    places = {b: number for b in _buckets_in(spark, path, number)}
     if chosen is not None and before is not None:
-        kept = _places(spark, path, before["version"])
-        places = {b: v for b, v in kept.items() if b not in chosen} | places
-    spark.createDataFrame(sorted(places.items()), "bucket int, written long").coalesce(1).write.mode(
-        "overwrite").parquet(f"{path}/manifest/v{number:08d}")
-    spark.createDataFrame([(number, buckets, df.schema.json())], _LOG).write.mode("append").parquet(
-        f"{path}/versions")
+        places = {b: v for b, v in before["places"].items() if b not in chosen} | places
+    spark.createDataFrame([(number, time.time_ns(), buckets, df.schema.json(), places)], _LOG).coalesce(
+        1).write.mode("append").parquet(f"{path}/versions")
     return number
 
 
-def retire(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
-    """Forget all but the newest versions, and delete the bucket folders only they named.
+def _buckets_in(spark: SparkSession, path: str, version: int) -> list[int]:
+    return [int(name.removeprefix("_bucket=")) for name in folders(
+        spark, f"{path}/data/v{version:08d}") if name.startswith("_bucket=")]
+
+
+def retire(spark: SparkSession, path: str, keep: int = 2) -> list[tuple[int, int]]:
+    """Keep the newest versions readable, and delete bucket folders that none of them names:
+    returned as (version that wrote it, bucket).
 
     The newest two must stay, as a batch that is delivered again starts from the one before it.
+    Versions that are being written, which are newer than all of these, are left alone.
     """
-    log = _log(spark, path)
-    if log is None:
+    kept = _log(spark, path, newest=max(2, keep))
+    if not kept:
         return []
-    versions = sorted(r["version"] for r in log.select("version").distinct().collect())
-    old, kept = versions[:-max(2, keep)], versions[-max(2, keep):]
-    named = {(v, b) for k in kept for b, v in _places(spark, path, k).items()}
+    named = {(v, b) for row in kept for b, v in row["places"].items()}
     gone = []
-    for version in reversed(old):
-        try:
-            places = _places(spark, path, version)
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error):
-                break  # it and all before it were retired earlier
-            raise
-        for bucket in (b for b, written in places.items() if (written, b) not in named):
-            remove(spark, f"{path}/data/v{places[bucket]:08d}/_bucket={bucket}")
-        remove(spark, f"{path}/manifest/v{version:08d}")
-        gone.append(version)
+    for name in folders(spark, f"{path}/data"):
+        written = int(name.removeprefix("v"))
+        if written > kept[0]["version"]:
+            continue
+        held = _buckets_in(spark, path, written)
+        unnamed = [(written, b) for b in held if (written, b) not in named]
+        for _, bucket in unnamed:
+            remove(spark, f"{path}/data/{name}/_bucket={bucket}")
+        if len(unnamed) == len(held) and written < kept[-1]["version"]:
+            remove(spark, f"{path}/data/{name}")
+        gone += unnamed
     return gone

@@ -180,12 +180,12 @@ def test_only_touched_buckets_are_written_and_old_ones_go(spark, rows, tmp_path)
     left = versions.read_version(spark, path)
     assert left.filter(F.col("k").isin(7, 1000)).count() == 0
     assert left.count() == 300 - before.count()
-    assert versions.retire(spark, path) == [1]
+    assert sorted(versions.retire(spark, path)) == [(1, b) for b in mine]
     assert len(folders(path)) == 16  # v1 lost the touched ones, v2 still has its own
     assert rows(versions.read_version(spark, path, 2)) == want
     versions.write_version(left, path, keys=["k"])
     versions.write_version(left, path, keys=["k"])
-    assert set(versions.retire(spark, path)) == {2, 3}
+    assert {v for v, _ in versions.retire(spark, path)} == {1, 2}
     assert all("v00000004" in f or "v00000005" in f for f in folders(path))
     assert versions.retire(spark, path) == [] and versions.retire(spark, f"{tmp_path}/none") == []
 
@@ -282,8 +282,9 @@ def test_batches_read_and_write_their_own_buckets(spark, tmp_path):
     step(spark.createDataFrame(batches[-1], RECORDS), len(batches) - 1)  # delivered again
     state = {r.slug: r.status for r in store.read_version(spark, f"{root}/t").collect()}
     assert len(state) == 300 and (state["s5"], state["s6"], state["s7"]) == ("open", "closed", "active")
-    assert read[0] == 0 and all(0 < n < 40 for n in read[1:])
-    assert not os.path.exists(f"{root}/t/manifest/v00000001")
+    assert read[0] == 0 and all(0 < n < 60 for n in read[1:])
+    held = [f for f in folders(f"{root}/t") if "v00000001" in f]
+    assert 0 < len(held) < versions.BUCKETS  # what the later batches replaced is gone
 
 
 def test_gate_and_miss_state_touch_their_sources_only(spark, tmp_path):
