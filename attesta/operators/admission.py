@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta import constants as K
 from attesta.functions import confidence as C
 from attesta.functions import urls as U
+from attesta.session import materialize
 
 
 def with_origin(df: DataFrame, origins: DataFrame, url: str = "url") -> DataFrame:
@@ -33,35 +34,81 @@ def split_allowed(df: DataFrame, origins: DataFrame, url: str = "url"
             keyed.join(hosts, "_host", "left_anti").drop("_host"))
 
 
+#: Characters of the fragments by which patterns with a wildcard host find their URLs.
+FRAGMENT = 5
+
+
+def _fragments(text: Column) -> Column:
+    """All distinct fragments of a text; none of a shorter one."""
+    starts = F.sequence(F.lit(1), F.length(text) - (FRAGMENT - 1))
+    return F.when(F.length(text) >= FRAGMENT, F.array_distinct(F.transform(
+        starts, lambda i: F.substring(text, i, FRAGMENT)))).otherwise(F.array().cast("array<string>"))
+
+
+def _matches(url: Column, pattern: Column, start: Column, regex: Column) -> Column:
+    """The plain start is compared first; a regular expression is compiled only after that."""
+    return F.startswith(url, start) & F.regexp(url, regex)
+
+
+def _first_by_fragment(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(url, hit): the first of the patterns that matches each URL.
+
+    A pattern is looked up by the rarest of its literal fragments, counted over the URLs; one with
+    a fragment that no URL holds matches none. `urls`: distinct url; `patterns`: ord, pattern,
+    start, regex and their fragments, none of them empty.
+    """
+    spread = patterns.select("ord", "pattern", "start", "regex",
+                             F.explode("fragments").alias("fragment"))
+    held = urls.select("url", F.explode(_fragments(F.col("url"))).alias("fragment"))
+    counted = (held.join(spread.select("fragment").distinct(), "fragment")
+               .groupBy("fragment").agg(F.count(F.lit(1)).alias("n")))
+    rarest = spread.join(counted, "fragment", "left").groupBy(
+        "ord", "pattern", "start", "regex").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "fragment")).alias("_r"))
+    keyed = materialize(rarest.filter(F.col("_r.n") > 0).select(
+        "ord", "pattern", "start", "regex", "_r.fragment"), "exclusions")
+    found = held.join(keyed, "fragment").filter(
+        _matches(F.col("url"), F.col("pattern"), F.col("start"), F.col("regex")))
+    return found.groupBy("url").agg(F.min(F.struct("ord", "pattern")).alias("hit"))
+
+
 def match_excluded(df: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:
     """Name the first pattern, in order, that a URL matches; null when none does.
 
-    `patterns`: (pattern, ord). Patterns that spell out a whole host meet URLs through an
-    equi-join on it, one array row per host, so no URL row is ever multiplied. The others
-    (wildcard hosts) are a hand-written list held in one row.
+    `patterns`: (pattern, ord), any number of them. Patterns that spell out a whole host meet URLs
+    through an equi-join on it, one array row per host, so no URL row is ever multiplied. Patterns
+    with a wildcard in the host meet them by their rarest literal fragment. Only patterns without
+    any literal run of `FRAGMENT` characters, which match nearly everything, are walked by every
+    URL; they are known on the driver, and there are few of them or the list is a mistake.
     """
     prepared = patterns.select(
         "ord", "pattern", U.wildcard_regex(F.col("pattern"), F.lit(True)).alias("regex"),
         F.split("pattern", r"\*", 2)[0].alias("start"),
-        F.regexp_extract("pattern", r"^https?://([^/*:@?#]+)/", 1).alias("_host"))
+        F.regexp_extract("pattern", r"^https?://([^/*:@?#]+)/", 1).alias("_host"),
+        F.array_distinct(F.flatten(F.transform(F.split("pattern", r"\*"), _fragments)))
+        .alias("fragments"))
 
     def first_hit(candidates: Column) -> Column:
-        # The plain start is compared first; a regular expression is compiled only after that.
-        hits = F.filter(candidates, lambda p: F.startswith(F.col(url), p["start"])
-                        & F.regexp(F.col(url), p["regex"]))
+        hits = F.filter(candidates, lambda p: _matches(F.col(url), p["pattern"], p["start"],
+                                                       p["regex"]))
         return F.array_min(F.transform(hits, lambda p: F.struct(p["ord"], p["pattern"])))
 
     entries = F.sort_array(F.collect_list(F.struct("ord", "regex", "pattern", "start")))
     by_host = (prepared.filter(F.col("_host") != "").groupBy("_host")
                .agg(entries.alias("_by_host")))
-    anywhere = (prepared.filter(F.col("_host") == "").agg(entries.alias("_any"))
-                .select("_any").scalar())
-    keyed = df.withColumn("_host", U.host_of(F.col(url))).withColumn("_any", anywhere)
+    anywhere = prepared.filter((F.col("_host") == "") & (F.size("fragments") > 0))
+    by_fragment = _first_by_fragment(
+        df.select(F.col(url).alias("url")).filter(F.col("url").isNotNull()).distinct(), anywhere)
+    short = (prepared.filter((F.col("_host") == "") & (F.size("fragments") == 0))
+             .agg(entries.alias("_any")).select("_any").scalar())
+    keyed = df.withColumn("_host", U.host_of(F.col(url))).withColumn("_any", short)
     hit = F.array_min(F.filter(
-        F.array(first_hit(F.col("_by_host")), first_hit(F.col("_any"))),
+        F.array(first_hit(F.col("_by_host")), first_hit(F.col("_any")), F.col("_hit")),
         lambda h: h.isNotNull()))
     return (keyed.join(by_host, "_host", "left")
-            .withColumn("excluded_by", hit["pattern"]).drop("_host", "_by_host", "_any"))
+            .join(by_fragment.select(F.col("url").alias(url), F.col("hit").alias("_hit")), url, "left")
+            .withColumn("excluded_by", hit["pattern"])
+            .select(*df.columns, "excluded_by"))
 
 
 _HTML = r"(?is)^\s*(<!doctype|<html)"
@@ -208,22 +255,49 @@ def overdue_sources(sources: DataFrame, now: Column) -> DataFrame:
             .withColumn("alert", since >= 2 * allowed).filter(since > allowed))
 
 
+#: Ranks up to here Spark cuts off in each task before the shuffle.
+PRUNED_RANK = 1000
+
+
+def _last_admitted(keyed: DataFrame, limit: int) -> DataFrame:
+    """(_run, _last): the key of each run's last admitted row. `keyed`: _run, _key.
+
+    A small limit is a rank that Spark prunes to `limit` rows per run and task. For a large one the
+    narrow keys are sorted over the cluster, and counts per (run, range) tell in which range and
+    at which offset the cut lies: no task ranks a whole run.
+    """
+    if limit <= PRUNED_RANK:
+        place = F.row_number().over(Window.partitionBy("_run").orderBy("_key"))
+        return (keyed.withColumn("_n", place).filter(F.col("_n") <= limit)
+                .groupBy("_run").agg(F.max("_key").alias("_last")))
+    placed = materialize(keyed.repartitionByRange("_run", "_key").sortWithinPartitions("_run", "_key")
+                         .withColumn("_id", F.monotonically_increasing_id()), "budget")
+    ranges = placed.groupBy("_run", F.shiftright("_id", 33).alias("_part")).agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy("_run").orderBy("_part")
+    upto = F.sum("_size").over(before)
+    whole = F.sum("_size").over(Window.partitionBy("_run"))
+    cut = F.least(F.lit(limit), F.col("_whole"))
+    ids = (ranges.withColumns({"_upto": upto, "_whole": whole})
+           .filter((F.col("_upto") >= cut) & (F.col("_upto") - F.col("_size") < cut))
+           .select((F.col("_first") + cut - (F.col("_upto") - F.col("_size")) - 1).alias("_id")))
+    return placed.join(ids, "_id").select("_run", F.col("_key").alias("_last"))
+
+
 def apply_budget(df: DataFrame, order: Sequence[str], run: str = "run_id",
                  limit: int = K.PAGE_BUDGET) -> DataFrame:
     """Keep the first `limit` URLs of each run in `order`; mark the rest failed.
 
-    `order` must be unique within a run. The window only looks for each run's last admitted
-    key, so Spark prunes it to `limit` rows per run before the shuffle; the other rows meet
-    that key in a join.
+    `order` must be unique within a run; rows without a run are one run. Only each run's last
+    admitted key is looked for; the other rows meet that key in a join.
     """
     key = F.struct(*order)
-    ranked = df.select(run, key.alias("_key")).withColumn("_n", F.row_number().over(
-        Window.partitionBy(run).orderBy("_key"))).filter(F.col("_n") <= limit)
-    last = ranked.groupBy(run).agg(F.max("_key").alias("_last"))
+    last = _last_admitted(df.select(F.col(run).alias("_run"), key.alias("_key")), limit)
     admitted = key <= F.col("_last")
-    return (df.join(last, run).withColumn("admitted", admitted)
+    return (df.join(last, F.col(run).eqNullSafe(F.col("_run")))
+            .withColumn("admitted", admitted)
             .withColumn("error", F.when(~admitted, F.lit(f"maxPagesPerRun ({limit}) reached")))
-            .drop("_last"))
+            .drop("_last", "_run"))
 
 
 def fetch_outcomes(attempts: DataFrame, key: str = "url") -> DataFrame:

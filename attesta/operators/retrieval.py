@@ -48,15 +48,24 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = K.ARM_DEPTH,
     asked = queries.select("query_id", F.unhex(F.md5("text")).alias("_text_id"), "text")
     terms = asked.select("_text_id", "text").dropDuplicates(["_text_id"]).select(
         "_text_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    vocabulary = materialize(terms.select("term").distinct().withColumn(
-        "tid", F.monotonically_increasing_id()), "vocabulary")
+    # The empty word, which no text holds, stands once in every row: its postings count the rows
+    # and carry their lengths, so the texts are cut into words once.
+    vocabulary = materialize(
+        terms.select("term").distinct().withColumn("tid", F.monotonically_increasing_id())
+        .union(queries.sparkSession.range(1).select(F.lit(""), F.lit(-1).cast("long"))),
+        "vocabulary")
     words = chunks.select("chunk_id", X.tokens(F.col(content)).alias("_words"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_words")).alias("avg_len"))
-    postings = materialize(
-        words.select("chunk_id", F.size("_words").alias("len"), F.explode("_words").alias("term"))
-        .join(vocabulary, "term")
-        .groupBy("chunk_id", "tid").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len")),
+    counted = materialize(
+        words.select("chunk_id", F.size("_words").alias("len"),
+                     F.explode(F.array_append(F.coalesce("_words", F.array().cast("array<string>")),
+                                              "")).alias("term"))
+        .join(vocabulary, "term").groupBy("chunk_id", "tid")
+        .agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"), F.sum("len").alias("all"),
+             F.count("len").alias("known")),
         "postings")
+    stats = counted.filter("tid < 0").agg(F.sum("tf").alias("n"),
+                                          (F.sum("all") / F.sum("known")).alias("avg_len"))
+    postings = counted.filter("tid >= 0")
     n = stats.select("n").scalar()
     df = postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df")).select(
         "tid", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -528,13 +528,20 @@ def attach_dimension(spark, sf):
 @query("sql_functions", f"""WITH {B.PAGE_TEXTS_SQL}, g AS (SELECT page_id, heading, lead,
   {grams_sql("heading")} AS a, {grams_sql("lead")} AS b FROM page_texts)
 SELECT page_id, {slug_sql("heading")} AS slug, {normal_sql("heading")} AS normal_name,
-  round(coalesce({similarity_sql("a", "b")}, 0), 6) AS similarity, 2 AS rank FROM g""")
+  round(coalesce({similarity_sql("a", "b")}, 0), 6) AS similarity, 2 AS rank,
+  {CLEAN_SQL.format(x="heading")} AS cleaned, heading || ', m' AS major,
+  CAST(1 + page_id % 9 + 0.5 AS DECIMAL(3,1)) AS years, CAST(page_id % 50 AS INTEGER) AS days FROM g""")
 def sql_functions_query(spark, sf):
     sql_functions.register(spark)
     B.page_texts(spark, sf).createOrReplaceTempView("attesta_page_texts")
     return spark.sql("""SELECT page_id, slugify(heading) AS slug,
       normalize_name(clean(heading)) AS normal_name,
-      round(trigram_similarity(heading, lead), 6) AS similarity, conf_rank('high') AS rank
+      round(trigram_similarity(heading, lead), 6) AS similarity, conf_rank('high') AS rank,
+      clean(heading) AS cleaned,
+      try_element_at(majors_of(concat('BS majors in ', heading, ', m')), 1) AS major,
+      years_of(concat(1 + page_id % 9, '.5 years')) AS years,
+      staleness_days(timestamp'2026-06-01' - make_dt_interval(cast(page_id % 50 AS INT), 1),
+                     timestamp'2026-06-01') AS days
       FROM attesta_page_texts""")
 
 

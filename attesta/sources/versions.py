@@ -114,10 +114,12 @@ def write_version(df: DataFrame, path: str, cluster_by: Sequence[str] = (),
     rows = df.withColumn("_bucket", _bucket(keys, buckets))
     if chosen is not None:
         rows = rows.filter(F.col("_bucket").isin(chosen))
-    if buckets > 1:
-        rows = rows.hint("rebalance", "_bucket")  # a large bucket is several tasks and files
     if cluster_by:
-        rows = rows.sortWithinPartitions("_bucket", *cluster_by)
+        # Files of a bucket hold ranges that do not overlap, so a reader of a range skips files.
+        rows = rows.repartitionByRange("_bucket", *cluster_by).sortWithinPartitions(
+            "_bucket", *cluster_by)
+    elif buckets > 1:
+        rows = rows.hint("rebalance", "_bucket")  # a large bucket is several tasks and files
     rows.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/v{number:08d}")
     places = {b: number for b in _buckets_in(spark, path, number)}
     if chosen is not None and before is not None:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta import session
+from attesta.operators import admission as A
 from attesta.operators import grid, similar
 from attesta.operators import match as M
 from attesta.operators import retrieval as R
@@ -202,6 +203,19 @@ def test_tables_without_keys_and_empty_tables(spark, rows, tmp_path):
     assert versions.read_version(spark, path, 9) is None
 
 
+def test_clustered_versions_hold_ranges_that_do_not_overlap(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.range(20_000).select(F.format_string("k%06d", (F.col("id") * 7919) % 20_000).alias("slug"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        versions.write_version(rows.repartition(3), path, cluster_by=["slug"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = sorted((r.low, r.high) for r in versions.read_version(spark, path).groupBy(
+        F.input_file_name()).agg(F.min("slug").alias("low"), F.max("slug").alias("high")).collect())
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_scratch_tables_go_with_their_step(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "work_root", lambda spark: str(tmp_path))
     with session.scratch(spark):
@@ -314,3 +328,41 @@ def test_forgotten_runs_change_no_status(spark, tmp_path):
     assert state.groupBy("source_id").count().agg(F.max("count")).first()[0] == 4
     with pytest.raises(ValueError):
         S.miss_counter_step("x", 3)
+
+
+# --- admission ---------------------------------------------------------------------------
+
+@pytest.mark.parametrize("limit", [3, 7, 100])
+@pytest.mark.parametrize("pruned", [1, 1000])
+def test_budgets_of_any_size_and_rows_without_a_run(spark, monkeypatch, limit, pruned):
+    monkeypatch.setattr(A, "PRUNED_RANK", pruned)
+    r = random.Random(4)
+    rows = [(None if i % 5 == 0 else f"run{i % 3}", n, f"u{i}") for i, n in enumerate(r.sample(range(900), 60))]
+    rows.append(("alone", 5, "one"))
+    got = A.apply_budget(spark.createDataFrame(rows, "run_id string, n int, url string").repartition(4),
+                         ["n", "url"], limit=limit).collect()
+    want = set()
+    for run in {x[0] for x in rows}:
+        mine = sorted((n, u) for name, n, u in rows if name == run)
+        want |= {(run, u, k < limit) for k, (_, u) in enumerate(mine)}
+    assert {(x.run_id, x.url, x.admitted) for x in got} == want and len(got) == len(rows)
+    assert all((x.error is None) == x.admitted for x in got)
+
+
+def test_wildcard_hosts_are_found_by_fragments(spark):
+    import fnmatch
+    r = random.Random(7)
+    urls = [f"https://{r.choice('abc')}.{r.choice(['site', 'other', 'x'])}.org/{r.choice(['login', 'a', 'news'])}"
+            f"/{r.randint(0, 30)}{r.choice(['', '?next=logout', '.html'])}" for _ in range(200)] + [None, "", "a", "https://"]
+    patterns = ["https://a.site.org/login/*", "*logout*", "https://*.other.org/news/*", "*", "https://*/a/1*", "*x*z*",
+                "http*://b.*.org/*.html", "https://c.site.org/a/3"] + [f"https://*.unseen{i}.net/*" for i in range(300)]
+    for chosen in (patterns, patterns[:3] + patterns[4:], patterns[8:], []):
+        order = list(chosen)
+        r.shuffle(order)
+        frame = spark.createDataFrame(list(zip(order, range(len(order)))), "pattern string, ord int")
+        got = A.match_excluded(spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, i int"), frame)
+        assert got.columns == ["url", "i", "excluded_by"]
+        for x in got.collect():
+            first = next((p for p in order if x.url is not None and fnmatch.fnmatchcase(
+                x.url, p.replace("[", "[[]").replace("?", "[?]"))), None)
+            assert x.excluded_by == first, (x.url, order[:9])
