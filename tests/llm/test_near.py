@@ -3,6 +3,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from attesta.llm import near, simhash
 
@@ -51,7 +54,10 @@ def brute_roots(texts):
     return top
 
 
-def test_near_copies_equal_brute_force(spark):
+@pytest.mark.parametrize("rows, few", [(512, 6), (16, 0)])
+def test_near_copies_equal_brute_force(spark, monkeypatch, rows, few):
+    monkeypatch.setattr(near, "CELL_ROWS", rows)
+    monkeypatch.setattr(near, "FEW", few)
     texts = planted()
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)],
                                  "doc_id long, text string, node string")
@@ -65,6 +71,35 @@ def test_near_copies_equal_brute_force(spark):
     assert near.near_copies(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_cells_join_the_classes_that_alike_members_join(monkeypatch, few):
+    monkeypatch.setattr(near, "FEW", few)
+    r = random.Random(4)
+    for trial in range(40):
+        base = r.sample(range(1000), 40)
+        sets = [np.array(sorted({x if r.random() < 0.94 else r.randint(2000, 9000) for x in base}), dtype=np.uint64)
+                for _ in range(r.randint(1, 14))]
+        roots = [f"r{r.randint(0, 9)}" for _ in sets]
+        blocks = [r.randint(0, trial % 2) for _ in sets]
+        cell = near.Cell()
+        for b, root, s in zip(blocks, roots, sets):
+            cell.add(b, root, s)
+        two = len(set(blocks)) > 1
+        top = {x: x for x in roots}
+        for i in range(len(sets)):
+            for j in range(i):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                if 5 * len(a & b) >= 4 * len(a | b) and not (two and blocks[i] == blocks[j]):
+                    old, new = sorted((top[roots[i]], top[roots[j]]))[::-1]
+                    top = {k: new if v == old else v for k, v in top.items()}
+        got = {x: x for x in roots}
+        links = cell.links()
+        for a, b in links:
+            old, new = sorted((got[a], got[b]))[::-1]
+            got = {k: new if v == old else v for k, v in got.items()}
+        assert got == top and len(links) < max(1, len(got))
+
+
 def test_pipeline_drops_edited_copies(spark):
     """Two words of a hundred replaced: ten shingles of five, and more than two bits of op4's
     digest."""
