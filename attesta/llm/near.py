@@ -1,17 +1,25 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8
+or more.
 
-A 64-bit SimHash cannot find these: at 0.8 two fingerprints differ in about 10 bits, and blocks
-for so wide a radius would be a few bits long. Candidates come from min-hashes instead: 32 bands
-of four, so that a pair at exactly 0.8 shares no band with a probability below 1e-7. Every
-candidate is verified on its whole shingle sets.
+A fingerprint has 1,024 bits in 128 pieces of eight. In every piece the shingles vote with weights
+of the piece's own, drawn from their hashes, and a bit is set by the weighted majority. With equal
+weights, as in op4, every bit of a near copy may flip, about 10 of 64 at 0.8, and no block wide
+enough to tell texts apart survives. The weights here spread so far (the fourth power of a uniform
+draw's inverse) that a piece hangs on few shingles: at 0.8 near copies have 77 of 100 pieces whole,
+unrelated texts none but by chance.
+
+Fingerprints that agree in one of 32 blocks of four pieces are candidates; a pair at exactly 0.8
+shares no block with a probability below 1e-6. Of these only pairs at `MOST_BITS` differing bits or
+fewer are looked at (a pair at 0.8 has 106 on average, with a deviation of 19; one at 0.5 has 260),
+and every link is verified on the whole shingle sets.
 
 Texts with equal sets are one node. Only classes are wanted, so a pair inside a class needs no
-look. First the members of each band's bucket are measured against the member that shares most
+look. First the members of each block's bucket are measured against the member that shares most
 buckets, a row per member, which settles most buckets. Buckets that then still hold several classes
-are cells: their sets come together in one task, a large bucket as blocks of bounded size that meet
-two by two, and overlaps are added up over an inverted list of their shingles. So a set travels once
-per bucket (equal buckets count once), never once per pair, and a cell gives at most as many links
-as it has classes.
+are cells: their members come together in one task, a large bucket as blocks of bounded size that
+meet two by two, first by fingerprint, then the texts of those that reach another class, and overlaps are added up over an inverted list of their shingles. So a text travels once
+per bucket (equal buckets count once), compressed, never once per pair, and a cell gives at most as
+many links as it has classes.
 
 Defined results: word-free and null texts have the empty set and are copies of each other; texts
 with fewer than five words have one shingle, the whole word sequence.
@@ -24,10 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import aside, lower_words_of, map_arrow
+from attesta.llm.common import aside, lower_words_of, map_arrow, settle
 from attesta.llm.components import components
 from attesta.llm.simhash import shingle_hashes
 from attesta.session import materialize
@@ -35,16 +44,21 @@ from attesta.session import materialize
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
-BANDS = 32
-ROWS = 4
+#: Pieces of a fingerprint, votes in a piece, and pieces of a block.
+PIECES = 128
+BITS = 8
+BLOCK = 4
+#: Most bits in which the fingerprints of near copies differ: five and a half deviations over the
+#: mean at the least similarity.
+MOST_BITS = 210
 #: Members of a block: a larger bucket is several blocks, and a cell is two at most.
 CELL_ROWS = 512
 #: Members up to which a cell is compared pair by pair.
 FEW = 6
 _FACTORS = np.random.default_rng(11).integers(
-    0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+    0, 1 << 63, PIECES, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 #: Shingles whose products are formed together.
-_PART = 512
+_PART = 2048
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -52,15 +66,56 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(lower_words_of(text), SHINGLE), dtype=np.uint64))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """One signed number per band: the hash of its place and its least products."""
+def _drawn(found: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per piece and shingle its votes and its weight. Of a product the upper bits draw the weight,
+    the bits below them are the votes."""
+    drawn = factors * found
+    weight = (drawn >> np.uint64(40)).astype(np.float32)
+    weight += 1
+    weight *= np.float32(2 ** -24)
+    weight *= weight
+    weight *= weight
+    return (drawn >> np.uint64(32)).astype(np.uint8), np.reciprocal(weight, out=weight)
+
+
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The pieces of a set's fingerprint as 64-bit numbers, eight pieces in each; none if empty."""
     if not len(found):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64)
+    every = np.arange(PIECES)
+    bits = np.zeros(PIECES, dtype=np.uint8)
+    most, total = np.zeros((2, PIECES), dtype=np.float32)
     for at in range(0, len(found), _PART):
-        np.minimum(least, (_FACTORS * found[at:at + _PART]).min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63)
-            for i, row in enumerate(least.reshape(BANDS, ROWS))]
+        votes, weight = _drawn(found[at:at + _PART], _FACTORS)
+        top = weight.argmax(axis=1)
+        own = weight[every, top]
+        bits = np.where(own > most, votes[every, top], bits)
+        most = np.maximum(most, own)
+        total += weight.sum(axis=1)
+    # A shingle that outweighs all others together decides its piece. Elsewhere all are added up.
+    left = np.flatnonzero(2 * most <= total * np.float32(1.001))
+    sums = np.zeros((len(left), BITS), dtype=np.float32)
+    for at in range(0, len(found) if len(left) else 0, _PART):
+        votes, weight = _drawn(found[at:at + _PART], _FACTORS[left])
+        signs = np.unpackbits(votes[:, :, None], axis=2, bitorder="little").astype(np.float32)
+        signs *= 2
+        signs -= 1
+        sums += np.matmul(weight[:, None, :], signs)[:, 0]
+    bits[left] = np.packbits(sums > 0, axis=1, bitorder="little")[:, 0]
+    return bits.view("<i8")
+
+
+def _blocks(fp: Column) -> Column:
+    """A number per block of a fingerprint: its place and its pieces."""
+    low = lambda x, i: (2 * i).cast("long") * F.lit(1 << 32) + x.bitwiseAND(F.lit((1 << 32) - 1))
+    high = lambda x, i: low(F.shiftrightunsigned(x, 32), i) + F.lit(1 << 32)
+    return F.concat(F.transform(fp, low), F.transform(fp, high))
+
+
+def _distance(a: Column, b: Column) -> Column:
+    """Bits in which two fingerprints differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                       F.lit(0), lambda total, n: total + n)
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -71,25 +126,26 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(a) else 0
 
 
-def _digest(found: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(found.tobytes())
+def _digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
 
 
 def _signed_rows(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """doc_id, kept columns, a digest of the text, node (the digest of the set), its size, its bands."""
+    """doc_id, kept columns, a digest of the text, node (the digest of the set), its size and its
+    fingerprint."""
     kept, plain, types, _ = aside(docs, (doc_id, *keep))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(len(keep) + 2)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(map(_digest, sets), pa.string()),
+                [*batch.columns[:-1], pa.array(map(_digest, sets), pa.binary()),
                  pa.array(map(len, sets), pa.int64()),
-                 pa.array(map(bands, sets), pa.list_(pa.int64()))],
-                names=[*plain, "text_key", "node", "size", "bands"])
+                 pa.array(map(fingerprint, sets), pa.list_(pa.int64()))],
+                names=[*plain, "text_key", "node", "size", "fp"])
 
     return map_arrow(docs, [*kept, _key(text), F.col(f"`{text}`").alias("text")], work,
-                     f"{types}text_key binary, node string, size long, bands array<long>")
+                     f"{types}text_key binary, node binary, size long, fp array<long>")
 
 
 def _key(text: str) -> Column:
@@ -97,17 +153,21 @@ def _key(text: str) -> Column:
     return F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("text_key")
 
 
-def _sets(docs: DataFrame, text: str) -> DataFrame:
-    """(node, found) of texts; one row per node."""
+def _packed(docs: DataFrame, text: str) -> DataFrame:
+    """(text_key, z): the texts, compressed before they are shuffled."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(map(_digest, sets), pa.string()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["node", "found"])
+            z = [press((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())],
+                                             names=["text_key", "z"])
 
-    return map_arrow(docs, [F.col(f"`{text}`")], work, "node string, found array<long>")
+    return map_arrow(docs, [_key(text), F.col(f"`{text}`").alias("text")], work,
+                     "text_key binary, z binary")
+
+
+def _set_of(z: bytes) -> np.ndarray:
+    return shingle_set(zstandard.decompress(z).decode("utf-8"))
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -115,19 +175,18 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * common >= LEAST[0] * (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are alike."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            near = [_alike(*(side[i].values.to_numpy().view(np.uint64) for side in (left, right)))
-                    for i in range(len(batch))]
+            near = [_alike(_set_of(x), _set_of(y))
+                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(
                 pa.array(near, pa.bool_()))
 
-    return (pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
-            .join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
-            .select("a", "b", "x", "y").mapInArrow(work, "a string, b string"))
+    return (pairs.join(texts.select(F.col("node").alias("b"), F.col("z").alias("y")), "b")
+            .join(texts.select(F.col("node").alias("a"), F.col("z").alias("x")), "a")
+            .select("a", "b", "x", "y").mapInArrow(work, "a binary, b binary"))
 
 
 class Cell:
@@ -135,19 +194,19 @@ class Cell:
 
     def __init__(self):
         self.blocks: list[int] = []
-        self.roots: list[str] = []
+        self.roots: list = []
         self.sets: list[np.ndarray] = []
 
-    def add(self, block: int, root: str, found: np.ndarray) -> None:
+    def add(self, block: int, root: bytes, found: np.ndarray) -> None:
         self.blocks.append(block)
         self.roots.append(root)
         self.sets.append(found)
 
-    def links(self) -> list[tuple[str, str]]:
+    def links(self) -> list[tuple]:
         """Enough links to join all classes that alike members join."""
         top = {r: r for r in self.roots}
 
-        def find(r: str) -> str:
+        def find(r: bytes) -> bytes:
             while top[r] != r:
                 top[r] = top[top[r]]
                 r = top[r]
@@ -192,8 +251,8 @@ class Cell:
                     yield i, int(j)
 
 
-def _links_in_cells(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between roots that alike members of open buckets give.
+def _cells(members: DataFrame, carried: DataFrame, schema: str, work) -> DataFrame:
+    """Rows of `work(rows)` for the rows (block, root, band, node, carried column) of every cell.
 
     `members`: band, node, root, for buckets with several classes. Of buckets with the same members
     one is looked at: they are told apart by their number and two digests, 128 bits, of them.
@@ -206,32 +265,61 @@ def _links_in_cells(members: DataFrame, sets: DataFrame) -> DataFrame:
     placed = (members.join(once, "band").withColumn("blocks", blocks)
               .withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    what = [c for c in carried.columns if c != "node"]
     cells = (placed.select("band", F.least("block", "other").alias("i"),
                            F.greatest("block", "other").alias("j"), "block", "root", "node")
-             .join(sets, "node").select("band", "i", "j", "block", "root", "found")
+             .join(carried, "node").select("i", "j", "block", "root", "band", "node", *what)
              .repartition("band", "i", "j").sortWithinPartitions("band", "i", "j"))
+    names = [field.split()[0] for field in schema.split(", ")]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(links: list[tuple[str, str]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.string()) for c in zip(*links)], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=names)
 
-        key, cell = None, Cell()
+        key, rows = None, []
         for batch in batches:
-            places = list(zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j"))))
-            blocks, roots = (batch.column(c).to_pylist() for c in ("block", "root"))
-            found, links = batch.column("found"), []
-            for k, place in enumerate(places):
-                if place != key:
-                    links += cell.links()
-                    key, cell = place, Cell()
-                cell.add(blocks[k], roots[k], found[k].values.to_numpy().view(np.uint64))
-            if links:
-                yield done(links)
-        if last := cell.links():
+            found = []
+            for i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (row[2], i, j) != key:
+                    found += work(rows)
+                    key, rows = (row[2], i, j), []
+                rows.append(row)
+            if found:
+                yield done(found)
+        if last := work(rows):
             yield done(last)
 
-    return cells.mapInArrow(work, "a string, b string").distinct()
+    return cells.mapInArrow(run, schema).distinct()
+
+
+def _in_reach(members: DataFrame, known: DataFrame) -> DataFrame:
+    """The members whose fingerprint is near that of a member of another class in their bucket."""
+    def work(rows: list) -> list[tuple]:
+        fps = np.array([r[4] for r in rows], dtype=np.int64)
+        _, roots = np.unique([r[1].hex() for r in rows], return_inverse=True)
+        block = np.array([r[0] for r in rows])
+        two, out = len(set(block.tolist())) > 1, []
+        for i, (_, root, band, node, _) in enumerate(rows):
+            near = np.bitwise_count(fps ^ fps[i]).sum(axis=1, dtype=np.int64) <= MOST_BITS
+            near &= roots != roots[i]
+            if two:
+                near &= block != block[i]
+            if near.any():
+                out.append((band, node, root))
+        return out
+
+    return _cells(members, known.select("node", "fp"), "band long, node binary, root binary", work)
+
+
+def _links_in_cells(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between roots that alike members of open buckets give."""
+    def work(rows: list) -> list[tuple]:
+        cell = Cell()
+        for block, root, _, _, z in rows:
+            cell.add(block, root, _set_of(z))
+        return cell.links()
+
+    return _cells(members, texts, "a binary, b binary", work)
 
 
 def _renamed(rows: DataFrame, ends: DataFrame) -> DataFrame:
@@ -245,34 +333,40 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of `docs`: doc_id, kept columns, `root`, which names the class of texts
     that near copies link. Runs jobs while it is built."""
-    rows = materialize(_signed_rows(docs, doc_id, text, keep), "near-rows")
-    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"),
+    rows = settle(_signed_rows(docs, doc_id, text, keep), "near-rows")
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"),
                                      F.min("text_key").alias("text_key"))
-    listed = nodes.select("node", "size", "text_key", F.explode("bands").alias("band"))
+    listed = rows.select("node", "fp").dropDuplicates(["node"]).select(
+        "node", F.explode(_blocks(F.col("fp"))).alias("band"))
     several = listed.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(listed.join(several, "band"), "near-buckets")
+    members = settle(listed.join(several, "band"), "near-buckets")
 
     # One text of every candidate is read again.
-    wanted = members.select("text_key").distinct()
-    again = (docs.select(_key(text), F.col(f"`{text}`").alias("text"))
-             .join(wanted, "text_key", "left_semi").select("text"))
-    sets = materialize(_sets(again, "text").dropDuplicates(["node"]), "near-sets")
+    known = settle(nodes.join(members.select("node").distinct(), "node", "left_semi"), "near-nodes")
+    texts = settle(_packed(docs, text).join(known.select("node", "text_key"), "text_key")
+                   .groupBy("node").agg(F.first("z").alias("z")), "near-texts")
 
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
     middle = (members.join(weights, "node").groupBy("band")
-              .agg(F.max(F.struct("weight", "node", "size")).alias("m"))
-              .select("band", F.col("m.node").alias("a"), F.col("m.size").alias("s")))
-    likely = (F.lit(LEAST[1]) * F.least("s", "size") >= F.lit(LEAST[0]) * F.greatest("s", "size"))
-    stars = (members.join(middle, "band").filter("a != node").filter(likely)
-             .select("a", F.col("node").alias("b")).distinct())
-    first = materialize(_verified(stars, sets), "near-links")
+              .agg(F.max(F.struct("weight", "node")).alias("m"))
+              .select("band", F.col("m.node").alias("a")))
+    side = lambda end: known.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"),
+                                    F.col("fp").alias(f"fp_{end}"))
+    likely = (F.lit(LEAST[1]) * F.least("size_a", "size_b")
+              >= F.lit(LEAST[0]) * F.greatest("size_a", "size_b"))
+    stars = (members.join(middle, "band").filter("a != node")
+             .select("a", F.col("node").alias("b")).distinct()
+             .join(side("b"), "b").join(side("a"), "a").filter(likely)
+             .filter(_distance(F.col("fp_a"), F.col("fp_b")) <= MOST_BITS).select("a", "b"))
+    first = settle(_verified(stars, texts), "near-links")
 
     placed = _renamed(members.select("band", "node", F.col("node").alias("root")),
                       components(first))
     open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     left = materialize(placed.join(open_.filter("low != high").select("band"), "band", "left_semi"),
                        "near-open")
-    second = materialize(_links_in_cells(left, sets), "near-links")
+    reach = settle(_in_reach(left, known), "near-reach")
+    second = settle(_links_in_cells(reach, texts), "near-links")
 
     ends = components(first.union(second)).withColumnRenamed("node", "own")
     _, plain, _, back = aside(docs, (doc_id, *keep))

@@ -113,3 +113,38 @@ def test_pipeline_drops_edited_copies(spark):
     left = corpus_pipeline.drop_near_duplicates(spark, rows, "")
     assert left.columns == rows.columns
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 4]
+
+
+def test_candidates_come_from_simhash_fingerprints(spark, monkeypatch):
+    """Near copies at the least similarity differ in few bits, others in many, and what differs
+    in more bits than allowed is not linked whatever its sets are."""
+    r = np.random.default_rng(5)
+    for n, alike in ((9, 8), (90, 80), (900, 800), (3 * near._PART, 3 * near._PART - 600)):
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[:alike], r.integers(0, 1 << 63, n - alike, dtype=np.uint64)]))
+        c = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        x, y, z = (near.fingerprint(s) for s in (a, b, c))
+        assert len(x) * 64 == near.PIECES * near.BITS
+        assert np.bitwise_count(x ^ y).sum() <= near.MOST_BITS < np.bitwise_count(x ^ z).sum()
+        # The weighted vote, added up without any shortcut.
+        total = np.zeros((near.PIECES, near.BITS))
+        for votes, weights in zip(*(v.T for v in near._drawn(a, near._FACTORS))):
+            signs = np.unpackbits(votes[:, None], axis=1, bitorder="little") * 2.0 - 1
+            total += weights[:, None].astype(float) * signs
+        assert (np.packbits(total > 0, axis=1, bitorder="little").ravel().view("<i8") == x).all()
+    base = words(100, 9)
+    texts = [" ".join(t) for t in (base, edited(base, {20, 50}), edited(base, {40, 70}))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = lambda: len({x["root"] for x in near.near_copies(rows).collect()})
+    assert classes() == 1
+    monkeypatch.setattr(near, "MOST_BITS", -1)
+    assert classes() == 3
+
+
+def test_pipeline_moves_texts_once_to_the_decisions(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "x y"),
+                                  (None, "x y")], "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, rows, "")
+    assert sorted(map(tuple, left.collect()), key=str) == [(1, "a b c d e f"), (None, "x y")]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan
