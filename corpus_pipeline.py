@@ -32,17 +32,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, similarity 0.8 or more) the row with the
-    smallest id stays."""
+    """Of each class of near copies (SimHash over five-word shingles, links verified at similarity
+    0.8 or more) the row with the smallest id stays."""
     rows, key = _keyed(docs)
     found = materialize(near.near_copies(rows, keep=(key,)), "pipeline-classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key))
     winners = found.groupBy("root").agg(first.alias("w")).select(f"w.{key}")
-    copied = found.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
-    kept = rows.join(winners, key, "left_semi")
-    once = kept.join(copied, key, "left_anti")
-    copies = kept.join(copied, key, "left_semi").dropDuplicates([key])
-    return once.union(copies).select(*docs.columns)
+    # Texts meet the decisions once; rows with one key are copies.
+    return rows.join(winners, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
