@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -156,6 +157,32 @@ def parse_html(html: str) -> Element:
     return builder.open[0]
 
 
+#: Rows that a task hands on together.
+PIECE_ROWS = 1000
+
+
+def _in_pieces(batches: Iterator[pd.DataFrame], rows_of: Callable, names: list[str],
+               types: Mapping[str, str] | None = None) -> Iterator[pd.DataFrame]:
+    """The rows that `rows_of` gives for each page of the batches, a bounded number at a time, so
+    that a task never holds the rows of a whole batch."""
+    for batch in batches:
+        rows = (row for page in zip(*(batch[c] for c in batch.columns)) for row in rows_of(*page))
+        while piece := list(islice(rows, PIECE_ROWS)):
+            yield pd.DataFrame(piece, columns=names).astype(types or {})
+
+
+def _parsed(html: str) -> Iterator[Element]:
+    """A page while it is looked at. Elements and their parents refer to each other, and such trees
+    would pile up until Python's collector runs: they are taken apart behind the last row."""
+    page = parse_html(html)
+    yield page
+    waiting = [page]
+    while waiting:
+        element = waiting.pop()
+        waiting.extend(c for c in element.children if isinstance(c, Element))
+        element.parent, element.children = None, []
+
+
 # --- user parsers ------------------------------------------------------------------------
 
 Parser = Callable[[str, str], tuple[dict[str, list[dict]], list[str]]]
@@ -224,25 +251,25 @@ def extract_records(pages: DataFrame, rules: Sequence[tuple[str, str]],
     if missing:
         raise ValueError(f"rules name unknown parsers: {sorted(missing)}")
 
+    def rows_of(page_id, url, html, name) -> Iterator[tuple]:
+        if name is None:
+            yield page_id, None, None, None, None, f"no parser for {url}"
+            return
+        try:
+            by_entity, warnings = known[name](url, html)
+        except Exception as error:  # a user parser's failure is data, not a crash
+            yield page_id, name, None, None, None, f"parse failed: {error}"
+            return
+        for kind, records in by_entity.items():
+            for i, r in enumerate(records):
+                yield (page_id, name, kind, i,
+                       json.dumps(r, ensure_ascii=False, sort_keys=True), None)
+        for w in warnings:
+            yield page_id, name, None, None, None, w
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page_id, url, html, name in batch.itertuples(index=False):
-                if name is None:
-                    rows.append((page_id, None, None, None, None, f"no parser for {url}"))
-                    continue
-                try:
-                    by_entity, warnings = known[name](url, html)
-                except Exception as error:  # a user parser's failure is data, not a crash
-                    rows.append((page_id, name, None, None, None, f"parse failed: {error}"))
-                    continue
-                for kind, records in by_entity.items():
-                    rows.extend((page_id, name, kind, i, json.dumps(
-                        r, ensure_ascii=False, sort_keys=True), None)
-                        for i, r in enumerate(records))
-                rows.extend((page_id, name, None, None, None, w) for w in warnings)
-            yield pd.DataFrame(rows, columns=["page_id", "parser", "entity_type", "pos",
-                                              "record", "warning"]).astype({"pos": "Int32"})
+        return _in_pieces(batches, rows_of, ["page_id", "parser", "entity_type", "pos", "record",
+                                             "warning"], {"pos": "Int32"})
 
     id_type = pages.schema["page_id"].dataType.simpleString()
     return route(pages, rules).select("page_id", "url", "html", "parser").mapInPandas(
@@ -270,18 +297,18 @@ def extract_cards(pages: DataFrame, spec: CardSpec) -> DataFrame:
         found = card.first(*where) if where else None
         return found.text() if found else None
 
+    def rows_of(page_id, html) -> Iterator[tuple]:
+        for page in _parsed(html):
+            for pos, card in enumerate(page.all(*spec.card)):
+                link = card.first(*spec.link)
+                yield (page_id, pos, card.attrs.get("class", ""),
+                       (part(card, spec.title) or "") if spec.title else card.text(),
+                       link.attrs.get("href") if link else None,
+                       part(card, spec.text), part(card, spec.badge))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page_id, html in batch.itertuples(index=False):
-                for pos, card in enumerate(parse_html(html).all(*spec.card)):
-                    link = card.first(*spec.link)
-                    rows.append((page_id, pos, card.attrs.get("class", ""),
-                                 (part(card, spec.title) or "") if spec.title else card.text(),
-                                 link.attrs.get("href") if link else None,
-                                 part(card, spec.text), part(card, spec.badge)))
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "classes", "title", "link",
-                                              "text", "badge"]).astype({"pos": "int32"})
+        return _in_pieces(batches, rows_of, ["page_id", "pos", "classes", "title", "link", "text",
+                                             "badge"], {"pos": "int32"})
 
     id_type = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "html").mapInPandas(
@@ -293,10 +320,13 @@ def _page_rows(pages: DataFrame, schema: str, rows_of) -> DataFrame:
     """(page_id, *schema) of `rows_of(parsed page)`, page by page."""
     names = ["page_id", *(c.split()[0] for c in schema.split(", "))]
 
+    def of_page(page_id, html) -> Iterator[tuple]:
+        for page in _parsed(html):
+            for row in rows_of(page):
+                yield (page_id, *row)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([(page_id, *row) for page_id, html in batch.itertuples(index=False)
-                                for row in rows_of(parse_html(html))], columns=names)
+        return _in_pieces(batches, of_page, names)
 
     id_type = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "html").mapInPandas(run, f"page_id {id_type}, {schema}")
@@ -342,23 +372,23 @@ def extract_nested(pages: DataFrame, prefix: str = "heading", html: str = "html"
         title = element.first("h5")
         return ((title.first("a") or title) if title else element).text()
 
+    def rows_of(page_id, html) -> Iterator[tuple]:
+        names = {}
+        for page in _parsed(html):
+            for element in page.all():
+                if element.attrs.get("id", "").startswith(f"{prefix}-"):
+                    names[element.attrs["id"]] = name_of(element)
+        for pos, (key, name) in enumerate(names.items()):
+            parts = key[len(prefix) + 1:].split("-")
+            if len(parts) == 2:
+                group = names.get(f"{prefix}-{parts[0]}")
+                warning = ("item has no name" if not name else
+                           "item has no group header" if group is None else None)
+                yield page_id, parts[0], pos, parts[1], name, group, warning
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page_id, page in batch.itertuples(index=False):
-                names = {}
-                for element in parse_html(page).all():
-                    if element.attrs.get("id", "").startswith(f"{prefix}-"):
-                        names[element.attrs["id"]] = name_of(element)
-                for pos, (key, name) in enumerate(names.items()):
-                    parts = key[len(prefix) + 1:].split("-")
-                    if len(parts) == 2:
-                        group = names.get(f"{prefix}-{parts[0]}")
-                        warning = ("item has no name" if not name else
-                                   "item has no group header" if group is None else None)
-                        rows.append((page_id, parts[0], pos, parts[1], name, group, warning))
-            yield pd.DataFrame(rows, columns=["page_id", "group_id", "pos", "item_id", "name",
-                                              "group_name", "warning"]).astype({"pos": "int32"})
+        return _in_pieces(batches, rows_of, ["page_id", "group_id", "pos", "item_id", "name",
+                                             "group_name", "warning"], {"pos": "int32"})
 
     id_type = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", html).mapInPandas(

@@ -25,6 +25,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     # Split a skewed join side even where that costs one more shuffle above it.
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Rows are whole texts and pages: a Python worker holds so many of them at a time.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 

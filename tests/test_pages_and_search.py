@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,3 +328,27 @@ def test_fees_and_steps(spark, rows):
                                   "ref string, steps string")
     assert rows(I.procedure_steps(steps), "ref", "n", "title", "detail") == [
         ("p", 1, "a", None), ("p", 2, "b", "d")]
+
+
+def test_extraction_hands_on_a_bounded_number_of_rows(spark, monkeypatch):
+    """A batch with many items leaves a task in pieces, and what a task parsed is gone with it."""
+    batch = pd.DataFrame({"page_id": [1, 2], "html": ["<li>a</li>" * 7, "<li>b</li>" * 2]})
+    pieces = list(E._in_pieces([batch, batch[1:]], lambda i, h: ((i, x) for x in range(h.count("<li>"))),
+                               ["page_id", "pos"], {"pos": "int32"}))
+    assert [len(p) for p in pieces] == [9, 2]
+    monkeypatch.setattr(E, "PIECE_ROWS", 4)
+    pieces = list(E._in_pieces([batch, batch[1:]], lambda i, h: ((i, x) for x in range(h.count("<li>"))),
+                               ["page_id", "pos"], {"pos": "int32"}))
+    assert [len(p) for p in pieces] == [4, 4, 1, 2] and pieces[0]["pos"].dtype == "int32"
+    assert [p for x in pieces for p in x["page_id"]] == [1] * 7 + [2] * 4
+
+    pages = E._parsed("<ul><li>a<li>b</ul>")
+    page = next(pages)
+    item = page.first("li")
+    assert item.parent.tag == "ul" and next(pages, None) is None
+    assert item.parent is None and not page.children
+
+    monkeypatch.setattr(E, "PIECE_ROWS", 1)
+    html = "".join(f'<div id="heading-a-{i}"><h5>item {i}</h5></div>' for i in range(5))
+    frame = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    assert sorted(r["pos"] for r in E.extract_nested(frame).collect()) == list(range(5))
