@@ -28,6 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,9 +150,11 @@ def build_vocabulary(counts: DataFrame, n_texts: int, frequent: int = FREQUENT)
     return Vocabulary(top, [tuple(r) for r in totals], n_texts)
 
 
-def train(rows: DataFrame, vocabulary: Callable[[], Vocabulary], classes: np.ndarray,
+def train(rows: DataFrame, vocabulary: Callable[[], Vocabulary] | Broadcast, classes: np.ndarray,
           rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Weights averaged over all tasks, round by round. Each text is in one round's part."""
+    """Weights averaged over all tasks, round by round. Each text is in one round's part.
+
+    `vocabulary`: what `sent` gives, or a plain broadcast where workers can import this package."""
     spark = rows.sparkSession
     params = gru.init(CLASSES, classes)
     shapes = [p.shape for p in params]
@@ -160,7 +163,7 @@ def train(rows: DataFrame, vocabulary: Callable[[], Vocabulary], classes: np.nda
 
         def work(batches: Iterator[pa.RecordBatch], before=before) -> Iterator[pa.RecordBatch]:
             trainer, texts, size = gru.Trainer(before.value), [], 0
-            own = vocabulary()
+            own = vocabulary() if callable(vocabulary) else vocabulary.value
             for batch in batches:
                 for value in batch.column(0):
                     texts.append(own.read(value.as_py())[0])
