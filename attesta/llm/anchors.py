@@ -3,6 +3,9 @@
 A place is an anchor if the hash of the `GRAM` bytes there is the least of some stretch of
 `STRETCH` places. Any string of `MATCH` bytes holds a whole stretch, hence an anchor, and
 whatever string equals it has its anchor at the same offset.
+
+A string may hold several anchors. It belongs to the first of those with the least hash, which
+its own bytes decide, so every string belongs to one anchor and equal strings to equal ones.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import xxhash
 MATCH = 200
 GRAM = 100
 STRETCH = MATCH - GRAM + 1
-#: Bytes of context before and behind an anchor's gram: all strings that contain the gram.
+#: Most bytes of context before and behind an anchor's gram: its strings contain the gram.
 SIDE = MATCH - GRAM
 #: Bytes hashed at a time, so that memory does not grow with the text.
 PART = 1 << 20
@@ -66,11 +69,34 @@ def find(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         at += PART
 
 
-def context(data: bytes, at: int) -> bytes:
-    return data[max(0, at - SIDE):at + GRAM + SIDE]
+def claims(at: np.ndarray, h: np.ndarray, begin: np.ndarray, last: np.ndarray) -> tuple:
+    """(lo, hi): an anchor's strings are those that start at lo to hi; none if lo > hi.
+
+    at, h: offsets and hashes of all anchors in order, of one text or of several laid behind
+    one another; begin, last: where the first and the last string of an anchor's text start.
+    """
+    lo, hi = np.maximum(at - SIDE, begin), np.minimum(at, last)
+    todo, k = np.arange(len(at)), 1
+    while len(todo):  # up to the nearest anchor before whose hash is not greater
+        todo = todo[todo >= k]
+        other = todo - k
+        near = at[other] >= lo[todo]
+        todo, other = todo[near], other[near]
+        ends = h[other] <= h[todo]
+        lo[todo[ends]] = at[other[ends]] + 1
+        todo, k = todo[~ends], k + 1
+    todo, k = np.arange(len(at)), 1
+    while len(todo):  # and to the nearest one behind whose hash is less
+        todo = todo[todo < len(at) - k]
+        other = todo + k
+        near = at[other] - STRETCH < hi[todo]
+        todo, other = todo[near], other[near]
+        ends = h[other] < h[todo]
+        hi[todo[ends]] = at[other[ends]] - STRETCH
+        todo, k = todo[~ends], k + 1
+    return lo, hi
 
 
-def context_hash(data: memoryview, at: int) -> int:
-    """Of the context and the anchor's offset in it."""
-    begin = max(0, at - SIDE)
-    return xxhash.xxh3_64_intdigest(data[begin:at + GRAM + SIDE], at - begin)
+def context_hash(data: memoryview, begin: int, end: int, at: int) -> int:
+    """Of the context from `begin` to `end` and the anchor's offset in it."""
+    return xxhash.xxh3_64_intdigest(data[begin:end], at - begin)

@@ -3,8 +3,9 @@ also begins anywhere else, in the same text or another.
 
 1. Anchors (`anchors.py`) give each text a few places chosen by content; equal strings have
    equal anchors. Anchors whose gram occurs at one place only cannot be part of a repeat.
-2. What can repeat lies in the context of an anchor: the bytes of all strings that hold its
-   gram. Equal contexts of a gram are one context that stands for several places.
+2. Every string belongs to one anchor that it holds, equal strings to equal anchors. What can
+   repeat lies in the context of an anchor: the bytes of all strings that belong to it. Equal
+   contexts of a gram are one context that stands for several places.
 3. The contexts of a gram are read through a Burrows-Wheeler transform (`intervals.py`) whose
    intervals are expanded breadth first up to 200 bytes; what is not parted by then repeats.
 4. Spans found in a context hold at each of its places. They are merged per text and cut out.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm import anchors
-from attesta.llm.anchors import GRAM, MATCH, SIDE
+from attesta.llm.anchors import MATCH, SIDE
 from attesta.llm.common import settle
 from attesta.llm.intervals import repeated_starts
 
 #: Most contexts of a group that are read in one piece, and bytes read at a time.
 GROUP = 600
 READ_BYTES = 24 << 10
+#: Bytes of texts whose anchors are settled together.
+TOGETHER = 4 << 20
 #: Numbers of offsets in a range, level by level.
 RANGES = (SIDE + 1, 26, 6, 1)
 
@@ -58,29 +62,48 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """One row per anchor of the distinct texts of a task."""
+    """One row per anchor of the distinct texts of a task that strings belong to; `span` is the
+    number of context bytes before it, times 512, plus the length of its context."""
+    def rows(keys: list[int], parts: list[bytes], found: list[tuple]) -> pa.RecordBatch:
+        counts = [len(at) for at, _ in found]
+        sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes
+        begin = np.repeat(begins, counts)
+        at = np.concatenate([at for at, _ in found]) + begin
+        h = np.concatenate([h for _, h in found])
+        lo, hi = anchors.claims(at, h, begin, np.repeat(begins + sizes - MATCH, counts))
+        held = lo <= hi
+        at, h, begin, lo, end = at[held], h[held], begin[held], lo[held], hi[held] + MATCH
+        view = memoryview(b"".join(parts))
+        c = np.array(list(map(anchors.context_hash, repeat(view), lo.tolist(), end.tolist(),
+                              at.tolist())), dtype=np.uint64)
+        key = np.repeat(np.array(keys, dtype=np.int64), counts)[held]
+        span = ((at - lo) << 9 | (end - lo)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(key),
+             pa.array((at - begin).astype(np.int32)), pa.array(span)],
+            names=["g", "c", "key", "pos", "span"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            columns = ([], [], [], [])
+            keys, parts, found, size = [], [], [], 0
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if key in seen:
                     continue
                 seen.add(key)
-                data = value.as_py().encode("utf-8", "replace")
-                at, h = anchors.find(data)
-                view = memoryview(data)
-                columns[0].append(h.view(np.int64))
-                columns[1].append(np.array([anchors.context_hash(view, a) for a in at.tolist()],
-                                           dtype=np.uint64).view(np.int64))
-                columns[2].append(np.full(len(at), key, dtype=np.int64))
-                columns[3].append(at.astype(np.int32))
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns],
-                                                 names=["g", "c", "key", "pos"])
+                parts.append(value.as_py().encode("utf-8", "replace"))
+                keys.append(key)
+                found.append(anchors.find(parts[-1]))
+                size += len(parts[-1])
+                if size >= TOGETHER:
+                    yield rows(keys, parts, found)
+                    keys, parts, found, size = [], [], [], 0
+            if keys:
+                yield rows(keys, parts, found)
 
     return (texts.filter(F.col("n") >= MATCH).select("key", "text")
-            .mapInArrow(work, "g long, c long, key long, pos int"))
+            .mapInArrow(work, "g long, c long, key long, pos int, span int"))
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -94,7 +117,8 @@ def _members(rows: DataFrame) -> DataFrame:
     known = (known.withColumn("first", F.col("place") == F.col("lo"))
              .withColumn("least", F.min("lo").over(gram)).withColumn("most", F.max("hi").over(gram)))
     return (known.filter(F.col("least") != F.col("most"))
-            .select("g", "c", "key", "pos", (F.col("lo") != F.col("hi")).alias("often"), "first"))
+            .select("g", "c", "key", "pos", "span", (F.col("lo") != F.col("hi")).alias("often"),
+                    "first"))
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -120,12 +144,12 @@ def _contexts(texts: DataFrame, members: DataFrame) -> DataFrame:
     """One row per gram and context: its bytes, a place it has, and the gram's number of
     contexts (`size`)."""
     wanted = (members.filter("first").repartition("g").groupBy("g", "c")
-              .agg(F.min(F.struct("key", "pos")).alias("p"), F.max("often").alias("often"))
+              .agg(F.min(F.struct("key", "pos", "span")).alias("p"), F.max("often").alias("often"))
               .withColumn("size", F.count("*").over(Window.partitionBy("g"))))
     # At most one entry per anchor of the text.
     wanted = (wanted.groupBy(F.col("p.key").alias("key"))
-              .agg(F.collect_list(F.struct("g", "c", F.col("p.pos").alias("pos"), "often", "size"))
-                   .alias("wanted")))
+              .agg(F.collect_list(F.struct("g", "c", F.col("p.pos").alias("pos"), "often", "size",
+                                         F.col("p.span").alias("span"))).alias("wanted")))
     fields = ("g", "c", "pos", "often", "size")
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64())
 
@@ -135,8 +159,9 @@ def _contexts(texts: DataFrame, members: DataFrame) -> DataFrame:
             for key, z, wants in zip(*(c.to_pylist() for c in batch.columns)):
                 data = unpack(z)
                 columns = [pa.array([w[f] for w in wants], k) for f, k in zip(fields, kinds)]
-                at = [min(w["pos"], SIDE) for w in wants]
-                found = [anchors.context(data, w["pos"]) for w in wants]
+                at = [w["span"] >> 9 for w in wants]
+                begins = [w["pos"] - a for w, a in zip(wants, at)]
+                found = [data[b:b + (w["span"] & 511)] for w, b in zip(wants, begins)]
                 yield pa.RecordBatch.from_arrays(
                     [*columns[:2], pa.array([key] * len(at), pa.int64()), *columns[2:],
                      pa.array(at, pa.int32()), pa.array(found, pa.binary())],

@@ -35,6 +35,39 @@ def test_anchors_are_the_least_of_some_stretch(monkeypatch):
     assert len(anchors.find(b"x" * 199)[0]) == 0
 
 
+def test_every_string_belongs_to_one_anchor(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "PART", 700)
+    r = random.Random(5)
+    parts = [bytes(r.choice(b"ab") for _ in range(2500)), b"a" * 900, b"abc" * 300, b"x" * 199,
+             r.randbytes(2600), b"y" * 200]
+    begins = [sum(map(len, parts[:i])) for i in range(len(parts))]
+    found = [anchors.find(p) for p in parts]
+    at = np.concatenate([f[0] + b for f, b in zip(found, begins)])
+    h = np.concatenate([f[1] for f in found])
+    counts = [len(f[0]) for f in found]
+    lo, hi = anchors.claims(at, h, np.repeat(begins, counts), np.repeat(
+        [b + len(p) - anchors.MATCH for b, p in zip(begins, parts)], counts))
+    got = {}
+    for a, b, c in zip(at.tolist(), lo.tolist(), hi.tolist()):
+        for start in range(b, c + 1):
+            assert start not in got
+            got[start] = a
+    expected = {}
+    for p, b in zip(parts, begins):
+        hashes = anchors.gram_hashes(np.frombuffer(p, dtype=np.uint8))
+        for s in range(len(p) - anchors.MATCH + 1):
+            expected[b + s] = b + s + int(np.argmin(hashes[s:s + anchors.STRETCH]))
+    assert got == expected
+    # So the contexts of a text hold each of its strings once.
+    texts = ["".join(r.choice("abcd é") for _ in range(n)) for n in (180, 300, 3000)]
+    rows = repeats._anchor_rows(repeats._texts(docs_of(spark, texts), "doc_id", "text")).collect()
+    held = collections.Counter()
+    for x in rows:
+        held[x["key"]] += (x["span"] & 511) - anchors.MATCH + 1
+    sizes = [len(t.encode()) - anchors.MATCH + 1 for t in texts]
+    assert sorted(held.values()) == sorted(n for n in sizes if n > 0)
+
+
 def test_interval_expansion():
     r = random.Random(3)
     for _ in range(120):
