@@ -8,6 +8,7 @@ back where a text begins.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
@@ -16,6 +17,8 @@ WINDOW = 32
 LANES = 32
 #: Most and fewest lanes that score side by side.
 SCORE_LANES = (1024, 32)
+#: Steps of all lanes whose logits are held at a time when scoring.
+TOGETHER = 1024
 RATE = 0.01
 CLIP = 1.0
 
@@ -61,6 +64,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _safe(out: np.ndarray, bias: np.ndarray) -> bool:
+    """States lie between -1 and 1, so this bounds every logit; exp is safe well below it."""
+    return float((np.abs(out).sum(axis=0) + np.abs(bias)).max()) < 60
+
+
 def log_likelihoods(params: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     """Natural-log probability of every class sequence, state carried through each text."""
     rows, recurrent, out, bias = params
@@ -71,8 +79,7 @@ def log_likelihoods(params: list[np.ndarray], texts: list[np.ndarray]) -> np.nda
     lanes = max(1, min(len(texts), max(SCORE_LANES[1], min(SCORE_LANES[0], full))))
     inputs, targets, begins, where = lay_out(texts, lanes, start)
     total = np.zeros((len(inputs) + 1, lanes))
-    # States lie between -1 and 1, so this bounds every logit; exp is safe well below it.
-    safe = float((np.abs(out).sum(axis=0) + np.abs(bias)).max()) < 60
+    safe, ones = _safe(out, bias), np.ones(len(bias), dtype=bias.dtype)
     h = np.zeros((lanes, HIDDEN), dtype=np.float32)
     n2 = 2 * HIDDEN
     for at in range(0, len(inputs), WINDOW):
@@ -89,27 +96,42 @@ def log_likelihoods(params: list[np.ndarray], texts: list[np.ndarray]) -> np.nda
             new = np.tanh(g[:, n2:] + zr[:, HIDDEN:] * a[:, n2:])
             h = new + z * (h - new)
             states[t] = h
-        logits = states.reshape(-1, HIDDEN) @ out
-        logits += bias
-        if not safe:
-            logits -= logits.max(axis=1, keepdims=True)
-        y = targets[at:at + WINDOW].ravel()
-        picked = logits[np.arange(len(y)), np.maximum(y, 0)]
-        np.exp(logits, out=logits)
-        logp = (picked - np.log(logits.sum(axis=1))) * (y >= 0)
+        flat, y = states.reshape(-1, HIDDEN), targets[at:at + WINDOW].ravel()
+        logp = np.empty(len(y), dtype=np.float32)
+        # Few rows at a time, so that their logits stay in the caches.
+        for i in range(0, len(y), TOGETHER):
+            logits = flat[i:i + TOGETHER] @ out
+            logits += bias
+            if not safe:
+                logits -= logits.max(axis=1, keepdims=True)
+            wanted = np.maximum(y[i:i + TOGETHER], 0)
+            picked = logits[np.arange(len(wanted)), wanted]
+            np.exp(logits, out=logits)
+            logp[i:i + TOGETHER] = picked - np.log(logits @ ones)
+        logp *= y >= 0
         total[at + 1:at + 1 + len(x)] = logp.reshape(len(x), lanes)
     np.cumsum(total, axis=0, out=total)
     return np.array([total[at + len(t), lane] - total[at, lane]
                      for t, (lane, at) in zip(texts, where)])
 
 
+def _together(params: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """One vector with a copy of all parameters, and each of them as a view of it."""
+    flat = np.concatenate([p.ravel() for p in params])
+    cuts = np.cumsum([p.size for p in params])[:-1]
+    return flat, [v.reshape(p.shape) for v, p in zip(np.split(flat, cuts), params)]
+
+
 class Trainer:
-    """Adam over windows of truncated backpropagation."""
+    """Adam over windows of truncated backpropagation.
+
+    All parameters are views of one vector, so one update is a few operations. Inside a window
+    lanes are the last axis: what a step reads and writes then lies in one piece.
+    """
 
     def __init__(self, params: list[np.ndarray]):
-        self.params = [p.copy() for p in params]
-        self.mean = [np.zeros_like(p) for p in params]
-        self.square = [np.zeros_like(p) for p in params]
+        self.flat, self.params = _together(params)
+        self.mean, self.square = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.updates = self.tokens = 0
 
     def train(self, texts: list[np.ndarray]) -> None:
@@ -128,54 +150,80 @@ class Trainer:
         """State after the window, gradients of the summed loss inside it, targets seen."""
         rows, recurrent, out, bias = self.params
         steps, lanes = x.shape
-        n2 = 2 * HIDDEN
-        kept = []
-        states = np.empty((steps, lanes, HIDDEN), dtype=np.float32)
-        for t in range(steps):
-            before = h * ~reset[t][:, None]
-            a = before @ recurrent
-            g = rows[x[t]]
-            zr = _sigmoid(g[:, :n2] + a[:, :n2])
-            new = np.tanh(g[:, n2:] + zr[:, HIDDEN:] * a[:, n2:])
-            h = new + zr[:, :HIDDEN] * (before - new)
-            states[t] = h
-            kept.append((before, a, zr, new))
-        flat = states.reshape(-1, HIDDEN)
-        logits = flat @ out + bias
-        logits -= logits.max(axis=1, keepdims=True)
-        error = np.exp(logits)
-        error /= error.sum(axis=1, keepdims=True)
+        n2, kind = 2 * HIDDEN, recurrent.dtype
+        keep, resets = ~reset, reset.any(axis=1).tolist()
+        # The gates' sigmoid(v) is tanh(v / 2) / 2 + 1 / 2; halves are taken beforehand.
+        half = np.array([0.5] * n2 + [1] * HIDDEN, dtype=kind)
+        given = np.ascontiguousarray((rows * half)[x].transpose(0, 2, 1))
+        into = np.ascontiguousarray((recurrent * half).T)
+        a = np.empty((steps, 3 * HIDDEN, lanes), dtype=kind)
+        zr = np.empty((steps, n2, lanes), dtype=kind)
+        new = np.empty((steps, HIDDEN, lanes), dtype=kind)
+        states = np.empty((steps, HIDDEN, lanes), dtype=kind)
+        first = now = np.ascontiguousarray(h.T)
+        for t, (g, at, s, w, after) in enumerate(zip(given, a, zr, new, states)):
+            if resets[t]:
+                now = now * keep[t]
+            np.dot(into, now, out=at)
+            np.add(g[:n2], at[:n2], out=s)
+            np.tanh(s, out=s)
+            s *= 0.5
+            s += 0.5
+            np.multiply(s[HIDDEN:], at[n2:], out=w)
+            w += g[n2:]
+            np.tanh(w, out=w)
+            np.subtract(now, w, out=after)
+            after *= s[:HIDDEN]
+            after += w
+            now = after
+        flat = states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+        error = flat @ out
+        error += bias
+        if not _safe(out, bias):
+            error -= error.max(axis=1, keepdims=True)
+        np.exp(error, out=error)
+        error /= (error @ np.ones(len(bias), dtype=kind))[:, None]
         target = y.ravel()
         error[np.arange(len(target)), np.maximum(target, 0)] -= 1
-        error *= (target >= 0)[:, None]
-        d_out, d_bias = flat.T @ error, error.sum(axis=0)
-        d_states = (error @ out.T).reshape(steps, lanes, HIDDEN)
-        d_recurrent = np.zeros_like(recurrent)
-        d_given = np.empty((steps, lanes, 3 * HIDDEN), dtype=np.float32)
-        behind = np.zeros((lanes, HIDDEN), dtype=np.float32)
+        n = int((target >= 0).sum())
+        if n < len(target):
+            error *= (target >= 0)[:, None]
+        d_out, d_bias = flat.T @ error, np.ones(len(flat), dtype=kind) @ error
+        d_states = np.ascontiguousarray(
+            (error @ out.T).reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
+        # What a step's gradient is multiplied by, for all steps at once.
+        before = np.concatenate([first[None], states[:-1]])
+        if any(resets):
+            before *= keep[:, None]
+        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+        to_new = (1 - z) * (1 - new * new)
+        by = np.empty((steps, 3, HIDDEN, lanes), dtype=kind)
+        by[:, 0] = (before - new) * z * (1 - z)
+        by[:, 2] = to_new * r
+        by[:, 1] = by[:, 2] * a[:, n2:] * (1 - r)
+        d_a = np.empty((steps, 3 * HIDDEN, lanes), dtype=kind)
+        behind, through = np.zeros((2, HIDDEN, lanes), dtype=kind)
         for t in range(steps - 1, -1, -1):
-            before, a, zr, new = kept[t]
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            d = d_states[t] + behind
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (before - new) * z * (1 - z)
-            d_r = d_new * a[:, n2:] * r * (1 - r)
-            d_given[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_a = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            d_recurrent += before.T @ d_a
-            behind = (d * z + d_a @ recurrent.T) * ~reset[t][:, None]
-        hot = np.zeros((steps * lanes, len(rows)), dtype=np.float32)
+            d = d_states[t]
+            d += behind
+            np.multiply(d, by[t], out=d_a[t].reshape(3, HIDDEN, lanes))
+            np.dot(recurrent, d_a[t], out=behind)
+            np.multiply(d, z[t], out=through)
+            behind += through
+            if resets[t]:
+                behind *= keep[t]
+        d_given = d_a.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)
+        d_recurrent = before.transpose(1, 0, 2).reshape(HIDDEN, -1) @ d_given
+        d_given[:, n2:] = (d_states * to_new).transpose(0, 2, 1).reshape(-1, HIDDEN)
+        hot = np.zeros((steps * lanes, len(rows)), dtype=kind)
         hot[np.arange(steps * lanes), x.ravel()] = 1
-        d_rows = hot.T @ d_given.reshape(-1, 3 * HIDDEN)
-        return h, [d_rows, d_recurrent, d_out, d_bias], int((target >= 0).sum())
+        return states[-1].T, [hot.T @ d_given, d_recurrent, d_out, d_bias], n
 
     def step(self, grads: list[np.ndarray]) -> None:
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
-        scale = min(1.0, CLIP / max(norm, 1e-12))
+        g = np.concatenate([g.ravel() for g in grads])
+        g *= min(1.0, CLIP / max(math.sqrt(float(g @ g)), 1e-12))
         self.updates += 1
-        for p, g, m, s in zip(self.params, grads, self.mean, self.square):
-            g = g * scale
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            p -= RATE * (m / (1 - 0.9 ** self.updates)) / (
-                np.sqrt(s / (1 - 0.99 ** self.updates)) + 1e-8)
+        self.mean += 0.1 * (g - self.mean)
+        self.square += 0.01 * (g * g - self.square)
+        self.flat -= RATE * (self.mean / (1 - 0.9 ** self.updates)) / (
+            np.sqrt(self.square / (1 - 0.99 ** self.updates)) + 1e-8)

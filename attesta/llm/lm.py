@@ -83,6 +83,8 @@ class Vocabulary:
     def __init__(self, frequent: list[tuple[bytes, int]], totals: list[tuple[int, int, int]],
                  n_texts: int):
         self.index = {w: i for i, (w, _) in enumerate(frequent)}
+        #: Classes of the endings met so far.
+        self.endings: dict[bytes, int] = {}
         self.log_c = np.array([math.log10(c + ALPHA) for _, c in frequent] or [0.0])
         self.class_of = np.array(
             [i if i < WORDS else ending_class(w) for i, (w, _) in enumerate(frequent)] or [0],
@@ -103,9 +105,8 @@ class Vocabulary:
         self.end_known = int(n_texts > 0)
         self.log_class = np.log10(tokens + ALPHA * (types + 1))
 
-    def read(self, text: str | None) -> tuple[np.ndarray, int, float, Counter]:
-        """Classes of the tokens, known frequent tokens, the sum of their log10(c + 0.1), and
-        the other words."""
+    def _words(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Classes of the tokens, numbers of the frequent words, and the other words."""
         words = lower_words_of(text)
         ids = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int32,
                           count=len(words))
@@ -114,8 +115,21 @@ class Vocabulary:
         classes[-1] = END
         other = np.nonzero(ids < 0)[0].tolist()
         rest = [words[i] for i in other]
-        classes[other] = list(map(ending_class, rest))
-        known = ids[ids >= 0]
+        if rest:
+            endings = [w[-2:] for w in rest]
+            for ending in set(endings).difference(self.endings):
+                self.endings[ending] = ending_class(ending)
+            classes[other] = list(map(self.endings.__getitem__, endings))
+        return classes, ids[ids >= 0], rest
+
+    def classes(self, text: str | None) -> np.ndarray:
+        """Classes of the tokens: all that training reads."""
+        return self._words(text)[0]
+
+    def read(self, text: str | None) -> tuple[np.ndarray, int, float, Counter]:
+        """Classes of the tokens, known frequent tokens, the sum of their log10(c + 0.1), and
+        the other words."""
+        classes, known, rest = self._words(text)
         return (classes, len(known) + self.end_known,
                 float(self.log_c[known].sum()) + self.end_log_c, Counter(rest))
 
@@ -166,7 +180,7 @@ def train(rows: DataFrame, vocabulary: Callable[[], Vocabulary] | Broadcast, cla
             own = vocabulary() if callable(vocabulary) else vocabulary.value
             for batch in batches:
                 for value in batch.column(0):
-                    texts.append(own.read(value.as_py())[0])
+                    texts.append(own.classes(value.as_py()))
                     size += len(texts[-1])
                     if size >= TRAINED:
                         trainer.train(texts)

@@ -271,6 +271,78 @@ def test_gradients_and_carried_state(monkeypatch):
             assert (up - down) / 2e-3 == pytest.approx(g[at], rel=0.05, abs=2e-2)
 
 
+def plain_window(params, x, y, reset, h):
+    """The window step by step, every operation on its own."""
+    rows, recurrent, out, bias = params
+    n, kept = gru.HIDDEN, []
+    for t in range(len(x)):
+        before = h * ~reset[t][:, None]
+        a, g = before @ recurrent, rows[x[t]]
+        zr = 1 / (1 + np.exp(-(g[:, :2 * n] + a[:, :2 * n])))
+        new = np.tanh(g[:, 2 * n:] + zr[:, n:] * a[:, 2 * n:])
+        h = new + zr[:, :n] * (before - new)
+        kept.append((before, a, zr, new, h))
+    grads, behind = [np.zeros_like(p) for p in params], np.zeros_like(h)
+    for t in range(len(x) - 1, -1, -1):
+        before, a, zr, new, state = kept[t]
+        z, r = zr[:, :n], zr[:, n:]
+        logits = state @ out + bias
+        error = np.exp(logits - logits.max(axis=1, keepdims=True))
+        error /= error.sum(axis=1, keepdims=True)
+        error[np.arange(len(error)), np.maximum(y[t], 0)] -= 1
+        error *= (y[t] >= 0)[:, None]
+        grads[2] += state.T @ error
+        grads[3] += error.sum(axis=0)
+        d = error @ out.T + behind
+        d_new = d * (1 - z) * (1 - new * new)
+        d_z = d * (before - new) * z * (1 - z)
+        d_r = d_new * a[:, 2 * n:] * r * (1 - r)
+        d_a = np.concatenate([d_z, d_r, d_new * r], axis=1)
+        grads[1] += before.T @ d_a
+        np.add.at(grads[0], x[t], np.concatenate([d_z, d_r, d_new], axis=1))
+        behind = (d * z + d_a @ recurrent.T) * ~reset[t][:, None]
+    return h, grads, int((y >= 0).sum())
+
+
+@pytest.mark.parametrize("size", [1, 40])  # 40: logits too large for exp alone
+def test_windows_are_those_of_single_steps(size):
+    rng = np.random.default_rng(4)
+    params = [p.astype(np.float64) * size for p in gru.init(9, np.ones(9))]
+    texts = [rng.integers(0, 9, n).astype(np.int16) for n in (50, 3, 1, 44, 30, 7)]
+    x, y, begins, _ = gru.lay_out(texts, 4, 9)
+    trainer, h = gru.Trainer(params), np.zeros((4, gru.HIDDEN))
+    for at in range(0, len(x), 16):
+        part = slice(at, at + 16)
+        expected = plain_window(params, x[part], y[part], begins[part], h)
+        h, grads, n = trainer.window(x[part], y[part], begins[part], h)
+        assert n == expected[2] and np.allclose(h, expected[0])
+        assert all(np.allclose(g, e, atol=1e-9) for g, e in zip(grads, expected[1]))
+    # An update changes all parameters, which are one vector.
+    trainer.step(grads)
+    assert all(np.shares_memory(p, trainer.flat) and (p != q).any()
+               for p, q in zip(trainer.params, params))
+
+
+@pytest.mark.parametrize("size", [1, 40])
+def test_scoring_in_blocks(monkeypatch, size):
+    rng = np.random.default_rng(6)
+    params = [p * size for p in gru.init(9, np.ones(9))]
+    texts = [rng.integers(0, 9, n).astype(np.int16) for n in (50, 3, 0, 1, 44, 30, 7)]
+    whole = gru.log_likelihoods(params, texts)
+    monkeypatch.setattr(gru, "TOGETHER", 5)
+    assert gru.log_likelihoods(params, texts) == pytest.approx(whole, rel=1e-5, abs=1e-4)
+
+
+def test_training_and_scoring_read_the_same_classes():
+    own = lm.Vocabulary([(b"a", 5), (b"of", 3)], [], 1)
+    for text in (None, "", "A of of unseen seen \u00e9 a", "x"):
+        classes = own.read(text)[0]
+        assert own.classes(text).tolist() == classes.tolist()
+        assert classes.tolist() == [
+            {b"a": 0, b"of": 1}.get(w, lm.ending_class(w))
+            for w in (text or "").lower().encode().split()] + [lm.END]
+
+
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 60)
     r = random.Random(8)
