@@ -56,12 +56,28 @@ def lay_out(texts: list[np.ndarray], lanes: int, start: int) -> tuple:
     return inputs, targets, begins, where
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = x * 0.5
-    np.tanh(x, out=x)
-    x *= 0.5
-    x += 0.5
-    return x
+def _halved(rows: np.ndarray, recurrent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input rows, and recurrent weights turned round, with those of the gates halved: a gate's
+    sigmoid(v) is tanh(v / 2) / 2 + 1 / 2."""
+    half = np.array([0.5] * (2 * HIDDEN) + [1] * HIDDEN, dtype=recurrent.dtype)
+    return rows * half, np.ascontiguousarray((recurrent * half).T)
+
+
+def _forward(into: np.ndarray, given: np.ndarray, now: np.ndarray, a: np.ndarray,
+             gates: np.ndarray, new: np.ndarray, after: np.ndarray) -> None:
+    """One step of all lanes, which are the last axis, from the state `now` to `after`."""
+    n2 = 2 * HIDDEN
+    np.dot(into, now, out=a)
+    np.add(given[:n2], a[:n2], out=gates)
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    np.multiply(gates[HIDDEN:], a[n2:], out=new)
+    new += given[n2:]
+    np.tanh(new, out=new)
+    np.subtract(now, new, out=after)
+    after *= gates[:HIDDEN]
+    after += new
 
 
 def _safe(out: np.ndarray, bias: np.ndarray) -> bool:
@@ -80,23 +96,21 @@ def log_likelihoods(params: list[np.ndarray], texts: list[np.ndarray]) -> np.nda
     inputs, targets, begins, where = lay_out(texts, lanes, start)
     total = np.zeros((len(inputs) + 1, lanes))
     safe, ones = _safe(out, bias), np.ones(len(bias), dtype=bias.dtype)
-    h = np.zeros((lanes, HIDDEN), dtype=np.float32)
-    n2 = 2 * HIDDEN
+    n2, kind = 2 * HIDDEN, recurrent.dtype
+    halved, into = _halved(rows, recurrent)
+    now = np.zeros((HIDDEN, lanes), dtype=kind)
+    a, s = np.empty((3 * HIDDEN, lanes), dtype=kind), np.empty((n2, lanes), dtype=kind)
+    w = np.empty((HIDDEN, lanes), dtype=kind)
     for at in range(0, len(inputs), WINDOW):
         x, reset = inputs[at:at + WINDOW], begins[at:at + WINDOW]
-        given = rows[x]
-        states = np.empty((len(x), lanes, HIDDEN), dtype=np.float32)
-        for t in range(len(x)):
+        states = np.empty((len(x), HIDDEN, lanes), dtype=kind)
+        for t, after in enumerate(states):
             if reset[t].any():
-                h = h * ~reset[t][:, None]
-            a = h @ recurrent
-            g = given[t]
-            zr = _sigmoid(g[:, :n2] + a[:, :n2])
-            z = zr[:, :HIDDEN]
-            new = np.tanh(g[:, n2:] + zr[:, HIDDEN:] * a[:, n2:])
-            h = new + z * (h - new)
-            states[t] = h
-        flat, y = states.reshape(-1, HIDDEN), targets[at:at + WINDOW].ravel()
+                now = now * ~reset[t]
+            _forward(into, halved[x[t]].T, now, a, s, w, after)
+            now = after
+        flat = states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+        y = targets[at:at + WINDOW].ravel()
         logp = np.empty(len(y), dtype=np.float32)
         # Few rows at a time, so that their logits stay in the caches.
         for i in range(0, len(y), TOGETHER):
@@ -152,10 +166,8 @@ class Trainer:
         steps, lanes = x.shape
         n2, kind = 2 * HIDDEN, recurrent.dtype
         keep, resets = ~reset, reset.any(axis=1).tolist()
-        # The gates' sigmoid(v) is tanh(v / 2) / 2 + 1 / 2; halves are taken beforehand.
-        half = np.array([0.5] * n2 + [1] * HIDDEN, dtype=kind)
-        given = np.ascontiguousarray((rows * half)[x].transpose(0, 2, 1))
-        into = np.ascontiguousarray((recurrent * half).T)
+        halved, into = _halved(rows, recurrent)
+        given = np.ascontiguousarray(halved[x].transpose(0, 2, 1))
         a = np.empty((steps, 3 * HIDDEN, lanes), dtype=kind)
         zr = np.empty((steps, n2, lanes), dtype=kind)
         new = np.empty((steps, HIDDEN, lanes), dtype=kind)
@@ -164,17 +176,7 @@ class Trainer:
         for t, (g, at, s, w, after) in enumerate(zip(given, a, zr, new, states)):
             if resets[t]:
                 now = now * keep[t]
-            np.dot(into, now, out=at)
-            np.add(g[:n2], at[:n2], out=s)
-            np.tanh(s, out=s)
-            s *= 0.5
-            s += 0.5
-            np.multiply(s[HIDDEN:], at[n2:], out=w)
-            w += g[n2:]
-            np.tanh(w, out=w)
-            np.subtract(now, w, out=after)
-            after *= s[:HIDDEN]
-            after += w
+            _forward(into, g, now, at, s, w, after)
             now = after
         flat = states.transpose(0, 2, 1).reshape(-1, HIDDEN)
         error = flat @ out
@@ -182,7 +184,7 @@ class Trainer:
         if not _safe(out, bias):
             error -= error.max(axis=1, keepdims=True)
         np.exp(error, out=error)
-        error /= (error @ np.ones(len(bias), dtype=kind))[:, None]
+        error *= (1 / (error @ np.ones(len(bias), dtype=kind)))[:, None]
         target = y.ravel()
         error[np.arange(len(target)), np.maximum(target, 0)] -= 1
         n = int((target >= 0).sum())

@@ -24,7 +24,6 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -105,11 +104,11 @@ class Vocabulary:
         self.end_known = int(n_texts > 0)
         self.log_class = np.log10(tokens + ALPHA * (types + 1))
 
-    def _words(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Classes of the tokens, numbers of the frequent words, and the other words."""
+    def read(self, text: str | None) -> tuple[np.ndarray, int, float, Counter]:
+        """Classes of the tokens, known frequent tokens, the sum of their log10(c + 0.1), and
+        the other words."""
         words = lower_words_of(text)
-        ids = np.fromiter(map(self.index.get, words, repeat(-1)), dtype=np.int32,
-                          count=len(words))
+        ids = np.array([self.index.get(w, -1) for w in words], dtype=np.int32)
         classes = np.empty(len(words) + 1, dtype=np.int16)
         classes[:-1] = self.class_of[ids]
         classes[-1] = END
@@ -120,16 +119,7 @@ class Vocabulary:
             for ending in set(endings).difference(self.endings):
                 self.endings[ending] = ending_class(ending)
             classes[other] = list(map(self.endings.__getitem__, endings))
-        return classes, ids[ids >= 0], rest
-
-    def classes(self, text: str | None) -> np.ndarray:
-        """Classes of the tokens: all that training reads."""
-        return self._words(text)[0]
-
-    def read(self, text: str | None) -> tuple[np.ndarray, int, float, Counter]:
-        """Classes of the tokens, known frequent tokens, the sum of their log10(c + 0.1), and
-        the other words."""
-        classes, known, rest = self._words(text)
+        known = ids[ids >= 0]
         return (classes, len(known) + self.end_known,
                 float(self.log_c[known].sum()) + self.end_log_c, Counter(rest))
 
@@ -164,29 +154,31 @@ def build_vocabulary(counts: DataFrame, n_texts: int, frequent: int = FREQUENT)
     return Vocabulary(top, [tuple(r) for r in totals], n_texts)
 
 
-def train(rows: DataFrame, vocabulary: Callable[[], Vocabulary] | Broadcast, classes: np.ndarray,
-          rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Weights averaged over all tasks, round by round. Each text is in one round's part.
+def part_of(text: Column, rounds: int = ROUNDS) -> Column:
+    """The round that trains on a text."""
+    return F.pmod(F.xxhash64(text), F.lit(rounds)).cast("int")
 
-    `vocabulary`: what `sent` gives, or a plain broadcast where workers can import this package."""
-    spark = rows.sparkSession
+
+def fit(texts: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights averaged over all tasks, round by round, from (part, classes): the round of each
+    text and the class of each of its tokens, a byte each."""
+    spark = texts.sparkSession
     params = gru.init(CLASSES, classes)
     shapes = [p.shape for p in params]
     for r in range(rounds):
         before = spark.sparkContext.broadcast(params)
 
         def work(batches: Iterator[pa.RecordBatch], before=before) -> Iterator[pa.RecordBatch]:
-            trainer, texts, size = gru.Trainer(before.value), [], 0
-            own = vocabulary() if callable(vocabulary) else vocabulary.value
+            trainer, read, size = gru.Trainer(before.value), [], 0
             for batch in batches:
                 for value in batch.column(0):
-                    texts.append(own.classes(value.as_py()))
-                    size += len(texts[-1])
+                    read.append(np.frombuffer(value.as_py(), dtype=np.uint8))
+                    size += len(read[-1])
                     if size >= TRAINED:
-                        trainer.train(texts)
-                        texts, size = [], 0
-            if texts:
-                trainer.train(texts)
+                        trainer.train(read)
+                        read, size = [], 0
+            if read:
+                trainer.train(read)
             if trainer.tokens:
                 flat = np.concatenate([p.ravel() for p in trainer.params]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
@@ -194,9 +186,9 @@ def train(rows: DataFrame, vocabulary: Callable[[], Vocabulary] | Broadcast, cla
                      pa.array(np.full(len(flat), trainer.tokens, dtype=np.int64))],
                     names=["i", "x", "n"])
 
-        part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text")
         # As many rows as there are weights, whatever the input.
-        mean = (part.mapInArrow(work, "i long, x double, n long").groupBy("i")
+        mean = (texts.filter(F.col("part") == r).select("classes")
+                .mapInArrow(work, "i long, x double, n long").groupBy("i")
                 .agg((F.sum("x") / F.sum("n")).alias("x")).collect())
         if mean:
             flat = np.zeros(sum(math.prod(s) for s in shapes))
@@ -208,6 +200,50 @@ def train(rows: DataFrame, vocabulary: Callable[[], Vocabulary] | Broadcast, cla
     return params
 
 
+def train(rows: DataFrame, vocabulary: Callable[[], Vocabulary] | Broadcast, classes: np.ndarray,
+          rounds: int = ROUNDS) -> list[np.ndarray]:
+    """Weights from the column `text`. Each text is in one round's part.
+
+    `vocabulary`: what `sent` gives, or a plain broadcast where workers can import this package."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = vocabulary() if callable(vocabulary) else vocabulary.value
+        for batch in batches:
+            read = [own.read(v.as_py())[0].astype(np.uint8).tobytes() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(read, pa.binary())],
+                                             names=["part", "classes"])
+
+    return fit(rows.select(part_of(F.col("text"), rounds).alias("part"), "text")
+               .mapInArrow(work, "part int, classes binary"), classes, rounds)
+
+
+def read_texts(rows: DataFrame, vocabulary: Callable[[], Vocabulary], kind: str) -> DataFrame:
+    """One row per row, with all that training and scoring need: the classes of the tokens, a
+    byte each, what the vocabulary knows of them, and the counts of the other words."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = vocabulary()
+        for batch in batches:
+            read = [own.read(value.as_py()) for value in batch.column(3)]
+            rare = [r[3] for r in read]
+            offsets = np.cumsum([0, *map(len, rare)])
+            words = pa.StructArray.from_arrays(
+                [pa.array([w for c in rare for w in c], pa.binary()),
+                 pa.array([n for c in rare for n in c.values()], pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([len(r[0]) for r in read], pa.int64()),
+                 pa.array([r[1] for r in read], pa.int64()),
+                 pa.array([r[2] for r in read], pa.float64()),
+                 pa.array([r[0].astype(np.uint8).tobytes() for r in read], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words)],
+                names=["doc_id", "held_out", "part", "n_tokens", "n_known", "log_c", "classes",
+                       "rare"])
+
+    return (rows.select("doc_id", "held_out", part_of(F.col("text")).alias("part"), "text")
+            .mapInArrow(work, f"doc_id {kind}, held_out boolean, part int, n_tokens long, "
+                              "n_known long, log_c double, classes binary, "
+                              "rare array<struct<word:binary,n:long>>")
+            .withColumn("row", F.monotonically_increasing_id()))
+
+
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id",
           text: str = "text") -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -220,48 +256,34 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id",
     known = rows.filter(~F.col("held_out"))
     counts = settle(count_words(known), "lm-counts")
     words = build_vocabulary(counts, known.count())
-    vocabulary = sent(spark, words)
-    params = spark.sparkContext.broadcast(train(known, vocabulary, words.tokens))
     kind = docs.schema[doc_id].dataType.simpleString()
+    read = settle(read_texts(rows, sent(spark, words), kind), "lm-read")
+    params = spark.sparkContext.broadcast(
+        fit(read.filter(~F.col("held_out")).select("part", "classes"), words.tokens))
+    log_class = words.log_class
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary()
-
-        def out(ids: list[pa.Array], flags: list[pa.Array], read: list[tuple]) -> pa.RecordBatch:
-            classes = [r[0] for r in read]
+        def out(rows: list[pa.Array], classes: list[np.ndarray]) -> pa.RecordBatch:
             within = gru.log_likelihoods(params.value, classes) / math.log(10)
-            within -= np.array([own.log_class[c].sum() for c in classes])
-            rare = [r[3] for r in read]
-            offsets = np.concatenate([[0], np.cumsum([len(c) for c in rare])])
-            words = pa.StructArray.from_arrays(
-                [pa.array([w for c in rare for w in c], pa.binary()),
-                 pa.array([n for c in rare for n in c.values()], pa.int64())], ["word", "n"])
-            return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids), pa.concat_arrays(flags),
-                 pa.array([len(c) for c in classes], pa.int64()),
-                 pa.array([r[1] for r in read], pa.int64()), pa.array([r[2] for r in read]),
-                 pa.array(within),
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "log_c", "within", "rare"])
+            within -= np.array([log_class[c].sum() for c in classes])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(rows), pa.array(within)],
+                                              names=["row", "within"])
 
-        ids, flags, read, size = [], [], [], 0
+        rows, classes, size = [], [], 0
         for batch in batches:
-            ids.append(batch.column(0))
-            flags.append(batch.column(1))
-            for value in batch.column(2):
-                read.append(own.read(value.as_py()))
-                size += len(read[-1][0])
+            rows.append(batch.column(0))
+            for value in batch.column(1):
+                classes.append(np.frombuffer(value.as_py(), dtype=np.uint8))
+                size += len(classes[-1])
             if size >= TOGETHER:
-                yield out(ids, flags, read)
-                ids, flags, read, size = [], [], [], 0
-        if read:
-            yield out(ids, flags, read)
-
-    scored = rows.mapInArrow(
-        work, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, log_c double, "
-              "within double, rare array<struct<word:binary,n:long>>")
-    scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    rare = (scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
+                yield out(rows, classes)
+                rows, classes, size = [], [], 0
+        if classes:
+            yield out(rows, classes)
+
+    within = settle(read.select("row", "classes").mapInArrow(work, "row long, within double"),
+                    "lm-scored")
+    rare = (read.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
             .join(counts, "word", "left")
             .groupBy("row").agg(
                 F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"),
@@ -269,7 +291,8 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id",
                 .alias("more_log_c")))
     n, v = words.n, words.v
     log_c = F.col("log_c") + F.coalesce("more_log_c", F.lit(0.0))
-    return scored.join(rare, "row", "left").select(
+    scored = read.select("row", "doc_id", "held_out", "n_tokens", "n_known", "log_c")
+    return scored.join(within, "row").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
