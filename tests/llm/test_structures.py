@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -323,6 +324,26 @@ def test_windows_are_those_of_single_steps(size):
                for p, q in zip(trainer.params, params))
 
 
+def test_windows_use_their_arrays_again():
+    rng = np.random.default_rng(5)
+    params = gru.init(lm.CLASSES, np.ones(lm.CLASSES))
+    texts = [rng.integers(0, lm.CLASSES, n).astype(np.int16) for n in rng.integers(1, 200, 64)]
+    x, y, begins, _ = gru.lay_out(texts, gru.LANES, lm.CLASSES)
+    used, h = gru.Trainer(params), np.zeros((gru.LANES, gru.HIDDEN), dtype=np.float32)
+    for at in range(0, 4 * gru.WINDOW, gru.WINDOW):
+        part = slice(at, at + gru.WINDOW)
+        # A window leaves nothing behind for the next one.
+        expected = gru.Trainer(params).window(x[part], y[part], begins[part], h.copy())
+        tracemalloc.start()
+        h, grads, n = used.window(x[part], y[part], begins[part], h)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # Logits of all steps alone are 400 kB.
+        assert not at or peak < 250_000
+        assert n == expected[2] and (h == expected[0]).all()
+        assert all((g == e).all() for g, e in zip(grads, expected[1]))
+
+
 @pytest.mark.parametrize("size", [1, 40])
 def test_scoring_in_blocks(monkeypatch, size):
     rng = np.random.default_rng(6)
